@@ -17,13 +17,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score(docs, labels, keep=["doc_id"])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicate_groups
 
     return duplicate_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_toxicity, op9_exact_dedup)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
