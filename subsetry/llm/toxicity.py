@@ -1,34 +1,33 @@
-"""Toxicity by two class-conditional Kneser-Ney models over the bytes of words."""
+"""Toxicity by two class-conditional Kneser-Ney models of words within their prefixes."""
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import common
 
-#: Bytes of an n-gram: one and its context, within a word and the blanks around it.
-ORDER = 6
 #: Labelled documents of each class, chosen by the hash of their ids, that fit the class counts.
 SAMPLE = 20_000
-#: Of these, so many of each class, of the half that the first models have not seen, fit the
-#: two weights and the constant that turn likelihood ratios into a score.
+#: Of these, so many of each class fit the weights that turn likelihood ratios into a score.
 CALIBRATION = 2_000
-DISCOUNT = 0.75
-#: Words in the window whose length-normalised ratio counts besides the whole text's.
-WINDOW = 50
-#: Words that a task gathers before it writes out what it has.
-WORDS_AT_ONCE = 300_000
+#: Absolute discounts and weights of the backoff, of which the calibration takes the best pair.
+GRID = tuple(itertools.product((0.75, 1.5, 3.0, 5.0), (0.02, 0.2)))
+#: A word's context is its first characters, so many.
+PREFIX = 4
+#: Distinct words that a task gathers before it writes out what it has.
+WORDS_AT_ONCE = 500_000
 THRESHOLD = 0.7
-
-_LOW5, _LOW3 = (1 << 40) - 1, (1 << 24) - 1
+_EDGE = ".,;:!?\"'()[]{}<>*$%&#"
 
 
 def remainder(id_col: Column) -> Column:
@@ -36,135 +35,130 @@ def remainder(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)).cast("int")
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every word's n-grams, as numbers, and for each the number of its word.
-
-    A word has a blank before and after it; n-grams that begin before it have zero bytes there.
-    """
-    pad = b"\0" * (ORDER - 2)
-    raw = np.frombuffer(b"".join(b"%s %s " % (pad, w) for w in words), np.uint8)
-    sizes = np.array([len(w) for w in words], np.int64)
-    n = sizes + 1  # predicted bytes: the word's and the blank after it
-    ends = np.cumsum(sizes + ORDER)
-    owner = np.repeat(np.arange(len(words)), n)
-    last = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends - n, n)
-    out = np.zeros(len(last), np.int64)
-    for k in range(ORDER):
-        out = (out << 8) | raw[last - (ORDER - 1 - k)]
-    return out, owner
-
-
-def _words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+def _words(text: str) -> list[str]:
+    return [w for w in [x.strip(_EDGE) for x in text.lower().split()] if w]
 
 
-_COUNTS = ("t0", "o0", "t2", "o2")
+def _hashes(words: Iterable[str]) -> np.ndarray:
+    """64-bit hashes; two of a million words share one with probability 3e-8."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64).view(np.int64)
 
 
 def _gather(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, class): the n-grams of all words, with token counts of the labelled classes."""
-    schema = pa.schema([("gram", pa.int64())] + [(c, pa.int64()) for c in _COUNTS])
-    seen: set[bytes] = set()
-    counts = [Counter() for _ in _COUNTS]
+    """From (text, toxic): of each word its and its prefix's hash and its counts: all, toxic, ordinary."""
+    names = ["word", "prefix", "every", "toxic", "ordinary"]
+    counts = [Counter(), Counter(), Counter()]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        words = list(seen)
-        if not words:
-            return
-        g, owner = grams(words)
-        distinct, at = np.unique(g, return_inverse=True)
-        cols = []
-        for c in counts:
-            per_word = np.fromiter((c[w] for w in words), np.float64, len(words))
-            cols.append(np.bincount(at, per_word[owner], len(distinct)).astype(np.int64) if c else np.zeros(len(distinct), np.int64))
-        for i in range(0, len(distinct), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (distinct, *cols)], schema=schema)
-        seen.clear()
+        words = list(counts[0])
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            cols = [_hashes(part), _hashes(w[:PREFIX] for w in part)]
+            cols += [np.fromiter(map(c.__getitem__, part), np.int64, len(part)) for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
         for c in counts:
             c.clear()
 
     for batch in stream:
-        for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = _words(text)
-            seen.update(words)
-            if kind is not None:
-                counts[kind].update(words)
-            if len(seen) > WORDS_AT_ONCE:
+            counts[0].update(words)
+            if toxic is not None:
+                counts[2 - toxic].update(words)
+            if len(counts[0]) > WORDS_AT_ONCE:
                 yield from flush()
     yield from flush()
 
 
 class Model:
-    """log P(toxic) - log P(ordinary) of words, from sorted tables of n-grams and contexts."""
-
-    def __init__(self, keys: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, context_ratio: np.ndarray):
-        self.keys, self.ratio, self.contexts, self.context_ratio = keys, ratio, contexts, context_ratio
-        self.cache: dict[bytes, float] = {}
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        g, owner = grams(words)
-        out = np.zeros(len(g))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            hit = self.keys[at] == g
-            ctx = g >> 8
-            where = np.minimum(np.searchsorted(self.contexts, ctx), len(self.contexts) - 1)
-            out = np.where(hit, self.ratio[at], np.where(self.contexts[where] == ctx, self.context_ratio[where], 0.0))
-        return np.bincount(owner, out, len(words))
+    """log P(toxic) - log P(ordinary) of words.
+
+    P(word) = P(prefix) P(word | prefix), each with an absolute discount; what the discounts
+    take goes to the backoff distributions, which both classes share: the prefix's part of
+    all documents' words and the word's part of its prefix's. A class that never saw a prefix
+    has the shared P(word | prefix), so a new word of a known prefix gets the prefix's ratio.
+    words: sorted hashes with toxic, ordinary and shared; prefixes likewise, and the kinds of
+    words that each class has under it.
+    """
+
+    def __init__(self, words: dict[str, np.ndarray], prefixes: dict[str, np.ndarray], grid: tuple[float, float]):
+        self.w, self.p, self.grid = words, prefixes, grid
+        self.size = {k: float(prefixes[k].sum()) for k in ("toxic", "ordinary")}
+        self.cache: dict[str, float] = {}
+
+    @staticmethod
+    def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+        return at, keys[at] == of
+
+    def ratios(self, words: list[str], grids: list[tuple[float, float]], without: tuple[str, np.ndarray] | None = None) -> np.ndarray:
+        """For each pair of grids, each distinct word's ratio; without: a class from whose
+        counts these words' counts in one of its documents are taken first."""
+        ph = _hashes(w[:PREFIX] for w in words)
+        at, known = self._find(self.w["key"], _hashes(words))
+        pat, pknown = self._find(self.p["key"], ph)
+        _, pgroup = np.unique(ph, return_inverse=True)
+        out = np.zeros((len(grids), len(words)))
+        for k, sign in (("toxic", 1), ("ordinary", -1)):
+            c = np.where(known, self.w[k][at], 0).astype(float)
+            cp = np.where(pknown, self.p[k][pat], 0).astype(float)
+            kinds, size = np.where(pknown, self.p["kinds_" + k][pat], 0).astype(float), self.size[k]
+            if without and without[0] == k:
+                c, size = c - without[1], size - without[1].sum()
+                cp = cp - np.bincount(pgroup, without[1])[pgroup]
+                kinds = kinds - np.bincount(pgroup, c <= 0)[pgroup]
+            size = max(size, 1.0)
+            # an unknown word or prefix: any constant does, as both classes share it
+            shared, pshared = np.where(known, self.w["shared"][at], 1.0), np.where(pknown, self.p["shared"][pat], 1e-7)
+            for i, (d, theta) in enumerate(grids):
+                taken = np.minimum(self.p[k], d).sum() + theta * size
+                q = (np.maximum(cp - d, 0) + taken * pshared) / (size * (1 + theta))
+                inner = (np.maximum(c - d, 0) + np.minimum(d * kinds, cp) * shared) / np.maximum(cp, 1e-9)
+                out[i] += sign * (np.log(q) + np.log(np.maximum(np.where(cp > 0, inner, shared), 1e-12)))
+        return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the ratio a byte, and that of its most toxic window."""
+        """Of each text: the mean ratio of its words, and the largest."""
         split = [_words(t) for t in texts]
         if len(self.cache) > 400_000:
             self.cache.clear()
         new = list({w for s in split for w in s} - self.cache.keys())
         if new:
-            self.cache.update(zip(new, self.words(new).tolist()))
+            self.cache.update(zip(new, self.ratios(new, [self.grid])[0].tolist()))
         out = np.zeros((len(texts), 2))
         for i, s in enumerate(split):
-            if not s:
-                continue
-            llr = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.cache.__getitem__, s), float, len(s)))])
-            size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, s), np.int64, len(s)) + 1)])
-            w = min(WINDOW, len(s))
-            out[i] = llr[-1] / size[-1], ((llr[w:] - llr[:-w]) / (size[w:] - size[:-w])).max()
+            if s:
+                llr = np.fromiter(map(self.cache.__getitem__, s), float, len(s))
+                out[i] = llr.mean(), llr.max()
         return out
 
+    def left_out(self, text: str, toxic: int) -> np.ndarray:
+        """The features of a document of the sample under each pair of GRID, without its own counts."""
+        found = Counter(_words(text))
+        if not found:
+            return np.zeros(2 * len(GRID))
+        n = np.fromiter(found.values(), float, len(found))
+        r = self.ratios(list(found), list(GRID), ("toxic" if toxic else "ordinary", n))
+        return np.column_stack([r @ n / n.sum(), r.max(axis=1)]).ravel()
 
-def _model(rows: dict[str, np.ndarray], shared: np.ndarray, toxic: tuple[str, ...], ordinary: tuple[str, ...]) -> Model:
-    """rows: sorted distinct n-grams with class counts; shared: each one's backoff probability."""
-    t, o = (sum(rows[c] for c in names).astype(float) for names in (toxic, ordinary))
-    key = rows["gram"]
-    contexts, first = np.unique(key >> 8, return_index=True)
-    group = np.searchsorted(contexts, key >> 8)
 
-    def of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.add.reduceat(count, first)
-        kinds = np.add.reduceat((count > 0).astype(float), first)
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        own = np.maximum(count - DISCOUNT, 0) / np.maximum(total[group], 1)
-        return own + back[group] * shared, back
-
-    (pt, bt), (po, bo) = of(t), of(o)
-    return Model(key, np.log(pt / po), contexts, np.log(bt / bo))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, scales and weights (the last: constant) by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean loss, means, scales and weights (the last: constant) by Newton steps with a small ridge."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, ridge = np.zeros(3), np.diag([0.1, 0.1, 1e-3])
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return mean, scale, w
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), mean, scale, w
 
 
 class Scorer:
-    """Scores of texts; without two classes among the labels, the labels' mean or 0."""
+    """Scores of texts; without two classes among the labels, one constant."""
 
     def __init__(self, model: Model | None, mean=None, scale=None, weights=None, constant: float = 0.0):
         self.model, self.mean, self.scale, self.weights, self.constant = model, mean, scale, weights, constant
@@ -177,85 +171,80 @@ class Scorer:
 
 
 def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """At most SAMPLE documents of each class with id, kind: an index into _COUNTS."""
+    """At most SAMPLE documents of each class, as id and toxic; none that is held out."""
     rows = (
         labels.where(labels[id_col].isNotNull() & labels[label_col].isin(0, 1))
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-        .withColumn("part", remainder(F.col("id"))).where("part <> 1")
+        .where(remainder(F.col("id")) != 1)
     )
     each = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (1, 0)]
-    return each[0].unionByName(each[1]).select("id", (F.col("part") + 1 - F.col("toxic")).alias("kind"))
+    return each[0].unionByName(each[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Class counts from a bounded sample of the labels not held out, backoff counts from all docs.
 
-    The backoff distribution, which both classes share, counts in how many kinds of context an
-    n-gram's ending occurs over every document, so what is gathered grows with the input. The
-    tables sent to the tasks hold the sample's n-grams only: their bound is that of the sample.
+    The shared backoff counts take in every word of every document, so what is gathered grows
+    with the input. The tables that the driver collects and sends hold the sample's words and
+    prefixes only: their bound is that of the sample. The discount and the score's weights are
+    fitted on sampled documents, each without its own counts.
     """
     spark = docs.sparkSession
     common.tune(spark)
     sample = common.staged(_sample(labels, id_col, label_col).coalesce(1), "labels")
-    have = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, ordinary = have.get(0, 0) + have.get(2, 0), have.get(1, 0) + have.get(3, 0)
-    if not toxic or not ordinary:
-        return Scorer(None, constant=float(toxic > 0))
+    have = {r["toxic"] for r in sample.select("toxic").distinct().collect()}
+    if have != {0, 1}:
+        return Scorer(None, constant=float(1 in have))
     own = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
-    with_kind = own.join(F.broadcast(sample), "id", "left").select("text", "kind")
-    counted = with_kind.mapInArrow(_gather, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
-    all_grams = common.staged(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "grams")
-    five = all_grams.groupBy(F.col("gram").bitwiseAND(F.lit(_LOW5)).alias("five")).agg(F.count(F.lit(1)).alias("n5"))
-    five = common.staged(five, "five")
-    contexts = five.groupBy(F.shiftright("five", 8).alias("four")).agg(F.sum("n5").alias("s5"), F.count(F.lit(1)).alias("k5"))
-    three = five.groupBy(F.col("five").bitwiseAND(F.lit(_LOW3)).alias("three")).agg(F.count(F.lit(1)).alias("n3")).toArrow()  # at most 2 ** 24 rows
-    seen = (
-        all_grams.where(" + ".join(_COUNTS) + " > 0")
-        .withColumn("five", F.col("gram").bitwiseAND(F.lit(_LOW5))).join(five, "five")
-        .withColumn("four", F.shiftright("five", 8)).join(contexts, "four")
-        .drop("four", "five").orderBy("gram").toArrow()
+    counted = own.join(F.broadcast(sample), "id", "left").select("text", "toxic").mapInArrow(
+        _gather, "word long, prefix long, every long, toxic long, ordinary long"
     )
-    rows = {c: seen.column(c).to_numpy() for c in seen.column_names}
-    # order 3 backs off to the single byte, and that to the uniform distribution
-    key3, n3 = three.column("three").to_numpy(), three.column("n3").to_numpy().astype(float)
-    order = np.argsort(key3)
-    key3, n3 = key3[order], n3[order]
-    two, at = np.unique(key3 >> 8, return_inverse=True)
-    s3, k3 = np.bincount(at, n3), np.bincount(at).astype(float)
-    one = np.bincount(key3 & 255, minlength=256).astype(float)
-    p1 = np.maximum(one - DISCOUNT, 0) / one.sum() + DISCOUNT * (one > 0).sum() / one.sum() / 256
-    mine = np.searchsorted(key3, rows["gram"] & _LOW3)
-    p3 = (np.maximum(n3[mine] - DISCOUNT, 0) + DISCOUNT * k3[at[mine]] * p1[rows["gram"] & 255]) / s3[at[mine]]
-    shared = (np.maximum(rows["n5"] - DISCOUNT, 0) + DISCOUNT * rows["k5"] * p3) / rows["s5"]
-
-    final = _model(rows, shared, ("t0", "t2"), ("o0", "o2"))
-    if have.get(0) and have.get(1) and have.get(2) and have.get(3):
-        half, kinds = _model(rows, shared, ("t0",), ("o0",)), (2, 3)
-    else:
-        half, kinds = final, (0, 1, 2, 3)
-    chosen = [sample.where(F.col("kind").isin(*[k for k in kinds if k % 2 == c])).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION) for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).select("id", (F.col("kind") % 2).alias("ordinary"))
-    sent = spark.sparkContext.broadcast(pickle.dumps(half))
-
-    def features(stream):
-        model = pickle.loads(sent.value)
-        for batch in stream:
-            x = model.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1).cast(pa.int32())], names=["a", "b", "ordinary"])
-
-    got = own.join(F.broadcast(chosen), "id").select("text", "ordinary").mapInArrow(features, "a double, b double, ordinary int").toArrow()
-    if got.num_rows == 0:
+    sums = [F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")]
+    words = common.staged(counted.groupBy("word", "prefix").agg(*sums), "words")
+    kinds = [F.count_if(F.col(c) > 0).alias("kinds_" + c) for c in ("toxic", "ordinary")]
+    under = common.staged(words.groupBy("prefix").agg(*sums, *kinds), "prefixes")
+    total = under.agg(F.sum("every")).first()[0]
+    got = words.where("toxic + ordinary > 0").toArrow()
+    above = under.where("toxic + ordinary > 0").orderBy("prefix").toArrow()
+    p = {c: above.column(c).to_numpy() for c in above.column_names}
+    w = {c: got.column(c).to_numpy() for c in got.column_names}
+    if not len(w["word"]):
         return Scorer(None, constant=0.0)
-    x = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()])
-    y = 1.0 - got.column("ordinary").to_numpy()
-    return Scorer(final, *_logistic(x, y)) if 0 < y.sum() < len(y) else Scorer(None, constant=float(y.mean()))
+    order = np.argsort(w["word"], kind="stable")
+    w = {c: v[order] for c, v in w.items()}
+    of = p["every"][np.searchsorted(p["prefix"], w["prefix"])]
+    model = Model(
+        {"key": w["word"], "toxic": w["toxic"], "ordinary": w["ordinary"], "shared": w["every"] / of},
+        {"key": p["prefix"], "toxic": p["toxic"], "ordinary": p["ordinary"], "shared": p["every"] / total, "kinds_toxic": p["kinds_toxic"], "kinds_ordinary": p["kinds_ordinary"]},
+        GRID[0],
+    )
+    chosen = [sample.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION) for c in (1, 0)]
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    def left_out(stream):
+        own_model = pickle.loads(sent.value)
+        for batch in stream:
+            toxic = batch.column(1).to_pylist()
+            x = [own_model.left_out(t, y) for t, y in zip(batch.column(0).to_pylist(), toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(toxic, pa.int32())], names=["x", "toxic"])
+
+    found = own.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("text", "toxic").mapInArrow(left_out, "x array<double>, toxic int").toArrow()
+    sent.unpersist()
+    y = found.column("toxic").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return Scorer(None, constant=float(y.mean()) if len(y) else 0.0)
+    x = np.array(found.column("x").to_pylist())
+    fits = [_logistic(x[:, 2 * i : 2 * i + 2], y) for i in range(len(GRID))]
+    best = min(range(len(GRID)), key=lambda i: fits[i][0])
+    model.grid = GRID[best]
+    return Scorer(model, *fits[best][1:])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those of keep), held_out, score (0 to 1) and predicted (1: score at or above threshold).
 
     The whole text is scored: the log-likelihoods of its words under both models, divided by
-    their bytes, over the text and over its most toxic window. Null and empty texts get the
+    their number over the text, and those of its most telling word. Null and empty texts get the
     score of a text without evidence. A null id is scored and not held out. Labels other
     than 0 and 1 are ignored; of several for one id the larger counts. Repeated rows get the
     same score. An empty table gives no rows; without labels of both classes all scores are 0
@@ -264,11 +253,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scorer = fit(docs, labels, id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))
     kept = [c for c in keep or docs.columns if c.lower() not in ("held_out", "score", "predicted")]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(remainder(docs[id_col]) == 1, F.lit(False)).alias("held_out"))
-    schema, out = own.schema, len(own.columns)
+    given = [*[F.col(f"`{c}`") for c in kept], F.coalesce(remainder(docs[id_col]) == 1, F.lit(False)).alias("held_out")]
+    own = docs.select(*given)
+    schema, out = own.schema, len(given)
     text_at = kept.index(text_col) if text_col in kept else out
     if text_at == out:
-        own = own.withColumn(common.unused(own, "text")[0], docs[text_col])
+        own = docs.select(*given, docs[text_col].alias(common.unused(own, "text")[0]))
 
     def run(stream):
         model = pickle.loads(sent.value)
