@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -31,13 +37,31 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, labels, keep=["doc_id"])
 
 
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_bpe import encode_decode
+
+    return encode_decode(_read(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    return scan(_read(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicate_groups
 
     return duplicate_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op4_toxicity, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_simhash, op4_toxicity, op5_chunked_bpe, op6_secret_scan, op7_pii, op9_exact_dedup)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 

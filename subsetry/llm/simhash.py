@@ -254,3 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(every, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("cid").alias("component_id")
     )
+
+
+#: Dropped ids, so many at most, that are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each group of near_duplicates, those with the smallest id.
+
+    Rows with a null id stay. Rows that share an id count as one document and stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, budget)
+    out = common.staged(found.groupBy(id_col).agg(F.max(F.col("component_id") == F.col(id_col)).alias("kept")).where("not kept").select(id_col), "dropped")
+    small = out.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(out) if small else out, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
