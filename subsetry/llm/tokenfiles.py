@@ -41,7 +41,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     bounds = common.id_bounds(docs, id_col, parts)
     own = docs.select(docs[id_col].cast("long").alias("id"), common.text_of(docs, text_col).alias("text"))
     own = own.withColumn("part", common.range_number(F.col("id"), bounds))
-    ordered = own.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "text")
+    ordered = own.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "id", "text")
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), None
@@ -82,7 +82,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         if out is not None:
             yield close()
 
-    written = common.staged(ordered.mapInArrow(run, "part int, name string, docs long, tokens long, width int"), "shards")
+    written = common.staged(ordered.mapInArrow(run, "part long, name string, docs long, tokens long, width long"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     shards = written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
