@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from shops import organisation, shop
+from .shops import organisation, shop
 
 from subsetry import runtime
 from subsetry.__main__ import get_calls
