@@ -25,41 +25,58 @@ _PAIRS = 200_000
 _LEAF = 8
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The text's 64-bit fingerprint, unsigned.
+def _view(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Hashes for another fingerprint of the same shingles; view 0 is the hash itself."""
+    if view == 0:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(0x9E3779B97F4A7C15 * view % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_views(text: str, words: int = 3, views: int = 1) -> list[int]:
+    """The text's 64-bit fingerprints, unsigned, each from other bits of the shingles' hashes.
 
     A-Z are lower-cased; words end at ASCII white space. A bit is 1 if it is set in over half
-    the XXH64 hashes (seed 42) of the shingles, repeats included. A text of fewer words has
-    one shingle, all its words; a text of none has fingerprint 0.
+    the XXH64 hashes (seed 42; view 0) of the shingles, repeats included. A text of fewer
+    words has one shingle, all its words; a text of none has fingerprint 0.
     """
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return [0] * views
     joined, n = b" ".join(found), max(1, len(found) - words + 1)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
     last = min(words, len(found))
-    hashes, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    hashes, ones = xxhash.xxh64_intdigest, np.zeros((views, BITS), np.int64)
     for a in range(0, n, _AT_ONCE):
         b = min(n, a + _AT_ONCE)
         pieces = [joined[x:y] for x, y in zip(starts[a:b].tolist(), (starts[a + last : b + last] - 1).tolist())]
         h = np.fromiter(map(hashes, pieces, repeat(SEED)), np.uint64, b - a)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        for v in range(views):
+            ones[v] += np.unpackbits(_view(h, v).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return [int.from_bytes(np.packbits(o * 2 > n).tobytes(), "big") for o in ones]
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return fingerprint_views(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, views: int = 1) -> DataFrame:
+    """id and fps (the fingerprints as signed longs) of each row; null texts count as empty."""
     common.tune(docs.sparkSession)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            fp = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint_views(t, words, views) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * views, pa.int32()), pa.array(fps.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "fps"])
 
     own = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, fp long")
+    return own.mapInArrow(run, f"id {kind}, fps array<long>")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -234,25 +251,42 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+def _edges(distinct: DataFrame, views: int, budget: int) -> DataFrame:
+    """Edges (u, v) between nodes whose fingerprints link in any view, less those that follow."""
+    if views == 1:
+        return links(distinct.select("fp"), budget)
+    out = None
+    for v in range(views):
+        own = distinct.select("fp", F.col("fps")[v].alias("view"))
+        found = common.staged(components(links(own.select(F.col("view").alias("fp")).distinct(), budget)), "view")
+        label = own.join(found, F.col("view") == F.col("node"), "left").select("fp", F.coalesce("component", "view").alias("label"))
+        hubs = label.groupBy("label").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        part = label.join(hubs, "label").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, views: int = 1) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of each row of docs.
 
     Two rows link if their fingerprints differ in at most budget bits; component_id is the
-    smallest id that links lead to, the row's own included. Equal fingerprints are one node,
-    so copies cost one row each. Null and empty texts have fingerprint 0 and link as others.
-    A null id gets its component's smallest id, null where no member has one. Repeated rows
-    stay. An empty table gives no rows; other columns are ignored.
+    smallest id that links lead to, the row's own included. With more views than one, rows
+    link where those of any view do; the fingerprint is the first view's. Equal fingerprints
+    are one node, so copies cost one row each. Null and empty texts have fingerprint 0 and
+    link as others. A null id gets its component's smallest id, null where no member has one.
+    Repeated rows stay. An empty table gives no rows; other columns are ignored.
     """
-    rows = common.staged(fingerprints(docs, id_col, text_col, words), "fp")
-    distinct = common.staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = common.staged(components(links(distinct.select("fp"), budget)), "components")
+    node = F.col("fps")[0] if views == 1 else F.xxhash64("fps")
+    rows = common.staged(fingerprints(docs, id_col, text_col, words, views).withColumn("fp", node), "fp")
+    distinct = common.staged(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("fps").alias("fps")), "distinct")
+    found = common.staged(components(_edges(distinct, views, budget)), "components")
     of = (
         found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("least").alias("cid"))
     )
     linked = found.join(of, "component").select(F.col("node").alias("fp"), "cid")
     every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("cid", "least").alias("cid"))
     return rows.join(every, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("cid").alias("component_id")
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.col("cid").alias("component_id")
     )
 
 
@@ -260,12 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_IDS = 1_000_000
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, views: int = 1) -> DataFrame:
     """The rows of docs that stay: of each group of near_duplicates, those with the smallest id.
 
     Rows with a null id stay. Rows that share an id count as one document and stay or go together.
     """
-    found = near_duplicates(docs, id_col, text_col, words, budget)
+    found = near_duplicates(docs, id_col, text_col, words, budget, views)
     out = common.staged(found.groupBy(id_col).agg(F.max(F.col("component_id") == F.col(id_col)).alias("kept")).where("not kept").select(id_col), "dropped")
     small = out.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(out) if small else out, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

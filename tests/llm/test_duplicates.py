@@ -67,6 +67,15 @@ def test_near_duplicates(spark, docs, local, odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 5, 7, 9}
 
 
+def test_views(spark, docs, local):
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, budget=5, views=3).collect()}
+    fps = np.array([simhash.fingerprint_views(t, views=3) for _, t in local], np.uint64)
+    assert [int(x) for x in fps[:, 0]] == [simhash.fingerprint(t) for _, t in local]
+    ids = [i for i, _ in local]
+    found = groups(ids, [p for v in range(3) for p in near(fps[:, v], 5)])
+    assert [rows[i] for i in ids] == [ids[k] for k in found]
+
+
 @pytest.mark.parametrize(("budget", "hot"), [(3, 10**9), (3, 20), (5, 10**9), (5, 20)])
 def test_trie_join_equals_brute_force(spark, budget, hot):
     rng = np.random.default_rng(budget)
