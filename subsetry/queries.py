@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from .plans.resolve import load_plan, with_gets
 from .runtime import run_import
 from .sources import infer
 from .sources.catalog import Catalog, ForeignKey
+from .sources.files import new_folder
 from .sources.target import export_bundle, open_bundle
 
 KEYS = {
@@ -145,7 +145,7 @@ def bwd_chain_region(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("row_count"), F.sum("l_quantity").alias("quantity"))
 
 
-rows_of("soft_relation_events", "events", 'relation events.user_id -> customer.c_custkey aggregate a { root customer where "c_custkey < 20" exclude orders }', "SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 20)")
+rows_of("soft_relation_events", "events", 'relation events.user_id -> customer.c_custkey aggregate a { root customer where "c_acctbal > 9000" exclude orders }', "SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
 rows_of("forward_documents", "documents", 'relation labels.doc_id -> documents.doc_id aggregate a { root labels where "toxic = 1" }', "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 
 
@@ -172,10 +172,11 @@ def ignored_dead_end(spark, sf_dir):
     return closure(spark, sf_dir, "ignore_table supplier " + _URGENT).rows["nation"]
 
 
-_TWO = """aggregate a { root orders where "o_orderkey <= 400" } aggregate b { root customer where "c_custkey BETWEEN 5 AND 9" }"""
-_O2 = "SELECT * FROM orders WHERE o_orderkey <= 400 OR o_custkey BETWEEN 5 AND 9"
+_TWO = """aggregate a { root orders where "o_orderstatus = 'P'" } aggregate b { root customer where "c_acctbal > 9000" }"""
+_RICH = "SELECT c_custkey FROM customer WHERE c_acctbal > 9000"
+_O2 = f"SELECT * FROM orders WHERE o_orderstatus = 'P' OR o_custkey IN ({_RICH})"
 rows_of("multi_aggregate_union", "orders", _TWO, _O2)
-rows_of("overlap_dedup", "customer", _TWO, "SELECT * FROM customer WHERE c_custkey BETWEEN 5 AND 9 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey <= 400)")
+rows_of("overlap_dedup", "customer", _TWO, "SELECT * FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 rows_of("nopk_distinct", "lineitem", _TWO, f"SELECT DISTINCT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM ({_O2}))")
 rows_of("composite_pk", "conversations", """aggregate a { root conversations where "turn < 2" } aggregate b { root conversations where "role = 'user'" }""", "SELECT * FROM conversations WHERE turn < 2 OR role = 'user'")
 
@@ -258,16 +259,16 @@ def random_faker_rows(spark, sf_dir):
 # merging -------------------------------------------------------------------
 
 
-@query("SELECT * FROM customer WHERE c_custkey < 5 OR c_acctbal < 0")
+@query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0")
 def preserve_or_rules(spark, sf_dir):
-    plan = load_plan(text='preserve customer where "c_custkey < 5" preserve customer where "c_acctbal < 0"')
+    plan = load_plan(text="""preserve customer where "c_mktsegment = 'BUILDING'" preserve customer where "c_acctbal < 0" """)
     return merge.preserved(catalog(spark, sf_dir)["customer"], [w for _, w in plan.preserves])
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'LOCAL' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'LOCAL', 0")
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'LOCAL' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'LOCAL', 0")
 def preserve_replace(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    local = c["nation"].where("n_nationkey < 3").withColumn("n_name", F.lit("LOCAL"))
+    local = c["nation"].where("n_regionkey = 2").withColumn("n_name", F.lit("LOCAL"))
     local = local.unionByName(spark.sql("SELECT 99 AS n_nationkey, 'LOCAL' AS n_name, 0 AS n_regionkey"))
     return merge.replace_rows(c["nation"], local, [c.key("nation")])
 
@@ -410,8 +411,7 @@ def timing_totals(spark, sf_dir):
 
 @query("SELECT * FROM supplier")
 def bundle_roundtrip(spark, sf_dir):
-    folder = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{folder}/bundle-{spark.sparkContext.applicationId}-{id(folder)}"
+    folder = new_folder(spark, "bundle")
     c = catalog(spark, sf_dir)
     export_bundle(spark, folder, {"supplier": c["supplier"]}, c.meta, Plan())
     return open_bundle(spark, folder)[0]["supplier"]
@@ -420,7 +420,7 @@ def bundle_roundtrip(spark, sf_dir):
 @query("SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'kept' ELSE upper(r_name) END AS r_name FROM region")
 def import_with_preserve(spark, sf_dir):
     """Two imports into one target: a local row is kept, and a statement runs on the others."""
-    folder = tempfile.mkdtemp()
+    folder = new_folder(spark, "target")
     c = catalog(spark, sf_dir)
     c = Catalog(spark, {"region": c["region"]}, c.meta)
     run_import(c, load_plan(text="""after { "UPDATE region SET r_name = 'kept' WHERE r_regionkey = 1" }"""), folder)
@@ -437,9 +437,9 @@ def hex_codec(spark, sf_dir):
     return df.select("n_nationkey", codecs.to_hex(F.col("n_name")).alias("as_hex"), codecs.from_hex(codecs.to_hex(F.col("n_name"))).cast("string").alias("back"))
 
 
-@query("SELECT doc_id || chr(9) || replace(replace(replace(replace(left(text, 50), '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') AS value FROM documents")
+@query("SELECT doc_id || chr(9) || replace(replace(replace(replace(coalesce(text, ''), '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') AS value FROM documents")
 def tsv_lines(spark, sf_dir):
-    return codecs.lines(catalog(spark, sf_dir)["documents"].select("doc_id", F.substring("text", 1, 50).alias("text")))
+    return codecs.lines(catalog(spark, sf_dir)["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query("""SELECT * FROM (VALUES ('labels', 'doc_id', 'documents', 'doc_id')) t(child, child_col, parent, parent_col)""")

@@ -48,14 +48,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, run once and read again from the folder of spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """URI of a folder, not yet there, below that of spark.checkpoint.dir, which executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = "file://" + tempfile.mkdtemp(prefix="subsetry-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, run once and read again from a new shared folder."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
