@@ -127,6 +127,10 @@ class Catalog:
         for t, df in self.frames.items():
             df.createOrReplaceTempView(prefix + t)
 
+    def estimates(self) -> dict[str, int]:
+        """Guessed rows of each table, for progress and reports."""
+        return {t: estimated_rows(df) for t, df in self.frames.items()}
+
     def counts(self) -> DataFrame:
         """Rows of each table, as one job."""
         from ..operators.report import table_counts
@@ -134,6 +138,15 @@ class Catalog:
         return table_counts(self.spark, self.frames)
 
 
+def estimated_rows(df: DataFrame) -> int:
+    """A guess without reading rows: the optimizer's size over that of a row of the schema."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if stats.rowCount().isDefined():
+        return int(str(stats.rowCount().get()))
+    width = 8 + sum({"long": 8, "double": 8, "timestamp": 8, "string": 20, "binary": 100, "short": 2, "byte": 1, "boolean": 1}.get(f.dataType.typeName(), 4) for f in df.schema.fields)
+    return int(int(str(stats.sizeInBytes())) / max(1, width))
+
+
 def _indexes(rows: list[tuple]) -> list[Index]:
     out: dict[str, Index] = {}
     for name, _, column, other in sorted((r for r in rows if r[0] and r[2]), key=lambda r: (r[0], int(r[1]))):

@@ -77,6 +77,12 @@ class Target:
         return Catalog(self.spark, {t: self[t] for t in self.tables()}, self.meta)
 
 
+def write_jdbc(frames: dict[str, DataFrame], url: str, properties: dict[str, str], batch: int = 10_000) -> None:
+    """Load tables into a database by batches of rows, one connection for each task; old tables are replaced."""
+    for t, df in frames.items():
+        df.write.option("batchsize", batch).jdbc(url, t, mode="overwrite", properties=properties)
+
+
 def export_bundle(spark: SparkSession, folder: str, frames: dict[str, DataFrame], meta: dict[str, TableMeta], plan: Plan) -> None:
     """Tables as zstd Parquet, metadata and the plan's later steps. manifest.json comes last and ends it."""
     folder = folder.rstrip("/")
