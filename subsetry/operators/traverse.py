@@ -98,7 +98,8 @@ def lookup(base: DataFrame, wanted: list[Wanted]) -> DataFrame:
 class Traversal:
     """Result = forward closure of the backward closure of the roots, each table a few semi-joins.
 
-    Tables outside cycles need no action: their rows are a lazy plan. A cyclic component is
+    Tables outside cycles are lazy plans; the key columns of a table from which several steps
+    go on are written to the shared folder, so it is scanned once for them. A cyclic component is
     iterated: keys of new rows find further rows, less those known, until there are none;
     rounds are written to the shared folder, so lineage stays short.
     """
@@ -106,6 +107,7 @@ class Traversal:
     def __init__(self, catalog: Catalog, plan: Plan, selection: Selection | None = None, ignore_case: bool = False):
         self.catalog, self.plan, self.ignore_case = catalog, plan, ignore_case
         self.selection = selection or select_tables(plan, catalog)
+        self.written: list[DataFrame] = []  # frames that cost a scan of their own rows only
 
     def run(self) -> Closure:
         out = Closure(self.selection)
@@ -124,6 +126,7 @@ class Traversal:
         root = root_rows(self.catalog, r.root, self.ignore_case)
         if r.root.limit is not None and (r.down or r.up):
             root = staged(root, "root")  # else every table's plan would sort and cut again
+            self.written.append(root)
         seeds = {r.root.table: [self._exactly(r.root.table, root)]}
         back = self._close(seeds, r.backward, r.down, out)
         return self._close(back, r.tables, r.up, out)
@@ -136,6 +139,7 @@ class Traversal:
         """Everything that steps reach from seeds, as lookups in each table."""
         wanted = {t: list(w) for t, w in seeds.items()}
         rows: dict[str, DataFrame] = {}
+        sources: dict[str, DataFrame] = {}
 
         def ask(s: Step, source: DataFrame) -> Wanted:
             keys = source.select(f"`{s.src_col}`").dropna()
@@ -145,8 +149,8 @@ class Traversal:
         for group in components(tables, steps):
             inside = [s for s in steps if s.src in group and s.dst in group]
             for s in steps:
-                if s.dst in group and s not in inside and s.src in rows:
-                    wanted.setdefault(s.dst, []).append(ask(s, rows[s.src]))
+                if s.dst in group and s not in inside and s.src in sources:
+                    wanted.setdefault(s.dst, []).append(ask(s, sources[s.src]))
             for t in group:
                 if t in wanted:
                     rows[t] = lookup(self.catalog[t], wanted[t])
@@ -154,8 +158,22 @@ class Traversal:
                 for t, found in self._iterate({t: rows[t] for t in group if t in rows}, inside, ask).items():
                     rows[t] = found
                     wanted[t] = [self._exactly(t, found)]
+                    self.written.append(found)
+            for t in group:
+                if t in rows:
+                    sources[t] = self._keys(rows[t], [s for s in steps if s.src == t and s.dst not in group])
         return wanted
 
+    def _keys(self, rows: DataFrame, steps: list[Step]) -> DataFrame:
+        """What later steps read of a table: where several do, its key columns, written once.
+
+        Else each of them would scan and join the table's rows again.
+        """
+        columns = sorted({s.src_col for s in steps})
+        if len(steps) < 2 or any(rows is w for w in self.written):
+            return rows
+        return staged(rows.select(*[f"`{c}`" for c in columns]), "keys")
+
     def _iterate(self, begun: dict[str, DataFrame], steps: list[Step], ask) -> dict[str, DataFrame]:
         known = {t: staged(df, "cycle") for t, df in begun.items()}
         new, rounds = dict(known), 0
