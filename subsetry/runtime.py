@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,36 +38,48 @@ def subset_frames(catalog: Catalog, plan: Plan, untouched: str = "full", ignore_
     return mask_tables(frames, plan, {t: catalog.key(t) for t in frames}, seed), closure.selection.warnings
 
 
+#: Tables that are written at the same time; their stages share the cluster.
+PARALLEL = 4
+
+
 def _write(target: Target, frames: dict[str, DataFrame], meta: dict[str, TableMeta], plan: Plan, state: RunState, out: Outcome, ignore_case: bool) -> None:
     spark = target.spark
-    spark.sparkContext.setJobGroup("subsetry", "writing tables", interruptOnCancel=True)
     keep: dict[str, list[str]] = {}
     for t, where in plan.preserves:
         keep.setdefault(t, []).append(where)
-    for t, df in frames.items():
-        if t in state.done:
-            out.skipped.append(t)
-            out.rows[t] = state.done[t]
-            continue
+
+    def one(t: str, df: DataFrame) -> None:
+        spark.sparkContext.setJobGroup("subsetry", "writing tables", interruptOnCancel=True)
         began = time.monotonic()
         if t in keep and t in target and t not in state.backups:
             rows = merge.preserved(target[t], keep[t], ignore_case)
             if not rows.isEmpty():
-                state.backups[t] = target.backup(t, rows)
-                state.save()
+                state.keeps(t, target.backup(t, rows))
         own = meta.get(t, TableMeta(t))
         masked = {c for c, _ in plan.anonymize.get(t, [])}
         unique = [k for k in own.unique_keys() if masked & set(k)]
         if unique:  # masking may have made equal values of different ones
             before = df.count()
-            df = merge.without_collisions(df, unique)
-            out.rows[t] = target.write(t, df, own)
+            out.rows[t] = target.write(t, merge.without_collisions(df, unique), own)
             if before > out.rows[t]:
                 out.warnings.append(f"{t}: {before - out.rows[t]} rows dropped, as masked values of a unique key are equal")
         else:
             out.rows[t] = target.write(t, df, own)
         out.times.append((t, "write", out.rows[t], int((time.monotonic() - began) * 1000)))
         state.completed(t, out.rows[t])
+
+    for t in frames:
+        if t in state.done:
+            out.skipped.append(t)
+            out.rows[t] = state.done[t]
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        running = [pool.submit(one, t, df) for t, df in frames.items() if t not in state.done]
+        try:
+            for r in running:
+                r.result()
+        except BaseException:
+            pool.shutdown(wait=True, cancel_futures=True)
+            raise
     _finish(target, plan, state, out, ignore_case)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ class Target:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self.lock = spark, folder.rstrip("/"), threading.Lock()
         self.list = f"{self.folder}/_state/tables.json"
         found = json.loads(files.read_text(spark, self.list)) if files.exists(spark, self.list) else {"tables": {}, "old": []}
         self.paths: dict[str, str] = found["tables"]
@@ -43,16 +44,17 @@ class Target:
         return sorted(self.paths)
 
     def write(self, table: str, df: DataFrame, meta: TableMeta | None = None) -> int:
-        """Replace the table; returns its rows."""
+        """Replace the table; returns its rows. Several threads may write different tables."""
         path = f"{self.folder}/{table}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
-        if table in self.paths:
-            self.old.append(self.paths[table])
-        self.paths[table] = path
-        self._save()
-        if meta is not None and self.meta.get(table) != meta:
-            self.meta[table] = meta
-            files.write_text(self.spark, f"{self.folder}/_state/meta.json", meta_json(self.meta))
+        with self.lock:
+            if table in self.paths:
+                self.old.append(self.paths[table])
+            self.paths[table] = path
+            self._save()
+            if meta is not None and self.meta.get(table) != meta:
+                self.meta[table] = meta
+                files.write_text(self.spark, f"{self.folder}/_state/meta.json", meta_json(self.meta))
         return self.spark.read.parquet(path).count()
 
     def backup(self, table: str, df: DataFrame) -> str:

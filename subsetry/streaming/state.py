@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,7 @@ class RunState:
     backups: dict[str, str] = field(default_factory=dict)
     stop_after: int | None = None
     stopping: bool = False
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     @classmethod
     def begin(cls, spark: SparkSession, folder: str, resume: bool = False, clean: bool = False, stop_after: int | None = None) -> "RunState":
@@ -48,9 +50,15 @@ class RunState:
     def save(self) -> None:
         files.write_text(self.spark, self.path, json.dumps({"done": self.done, "backups": self.backups}))
 
+    def keeps(self, table: str, path: str) -> None:
+        with self.lock:
+            self.backups[table] = path
+            self.save()
+
     def completed(self, table: str, rows: int) -> None:
-        self.done[table] = rows
-        self.save()
+        with self.lock:
+            self.done[table] = rows
+            self.save()
         if self.stopping or (self.stop_after is not None and len(self.done) >= self.stop_after):
             raise Interrupted(f"stopped after {len(self.done)} tables")
 
