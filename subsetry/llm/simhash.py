@@ -226,6 +226,17 @@ def links(distinct: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:
     return _joined(cold, budget, parts).unionByName(_joined(more.select("key", "fp"), budget, parts))
 
 
+#: Copies of each row on the small side of a join whose keys may be very uneven.
+SALTS = 8
+
+
+def _spread(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with one, which has a row for each key; the rows of a frequent key go to several tasks."""
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for each node of edges (u, v).
 
@@ -243,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = sign
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _spread(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         known = common.staged(
             large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -261,7 +272,7 @@ def _edges(distinct: DataFrame, views: int, budget: int) -> DataFrame:
         found = common.staged(components(links(own.select(F.col("view").alias("fp")).distinct(), budget)), "view")
         label = own.join(found, F.col("view") == F.col("node"), "left").select("fp", F.coalesce("component", "view").alias("label"))
         hubs = label.groupBy("label").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        part = label.join(hubs, "label").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+        part = _spread(label, hubs, "label", "fp").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -283,9 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = (
         found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("least").alias("cid"))
     )
-    linked = found.join(of, "component").select(F.col("node").alias("fp"), "cid")
+    linked = _spread(found, of, "component", "node").select(F.col("node").alias("fp"), "cid")
     every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("cid", "least").alias("cid"))
-    return rows.join(every, "fp").select(
+    return _spread(rows, every, "fp", "id").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.col("cid").alias("component_id")
     )
 
