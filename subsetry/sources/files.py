@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder, not yet there, below that of spark.checkpoint.dir, which executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = "file://" + tempfile.mkdtemp(prefix="subsetry-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
