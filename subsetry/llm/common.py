@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="subsetry-")
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     elif "://" not in base and not base.startswith("file:"):
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
