@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetry.llm import common, exact_dedup, packing, secret_scan, simhash, toxicity
+from subsetry.llm import common, exact_dedup, near_dedup, packing, secret_scan, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest doc_id.
+    """Documents but for those whose five-word shingles are 0.8 or more alike to one that stays.
 
-    The stage links at 5 bits in any of three fingerprints, where the operator's own query links
-    at 3 in one, to find more of the near copies; unrelated documents are further apart.
+    The smaller doc_id stays. Fingerprints of 64 bits do not tell that similarity (most pairs at
+    0.8 differ in more bits than their tries can be joined at), so pairs come from MinHash bands
+    and are verified by their shingles; op3 is the operator by fingerprints.
     """
-    return simhash.keep_one(docs, budget=5, views=3)
+    return near_dedup.keep_one(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
