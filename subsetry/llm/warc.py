@@ -6,7 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ MAGIC = b"WARC/1.0\r\n"
 FILE_BYTES = 64 << 20
 #: Bytes of a file that one reading task scans for candidates.
 SPLIT_BYTES = 16 << 20
-#: Bytes beyond a candidate in which its header must end.
+#: Bytes beyond a split that are read at first; more are read where a header ends later.
 HEADER_BYTES = 64 << 10
 #: Rows of the table of repeated payloads that are broadcast (at most 6 MB); more are shuffled.
 BROADCAST_GROUPS = 100_000
@@ -105,13 +105,29 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return common.staged(rows.mapInArrow(run, "name string, bytes long"), "archives")
 
 
-def candidates(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
-    """(offset, successor's offset) of every magic in raw[start:stop] with a complete header."""
-    at = raw.find(MAGIC, start)
+def candidates(raw: bytes, start: int, stop: int, more: Callable[[int], bytes] = lambda n: b"") -> Iterator[tuple[int, int]]:
+    """(offset, successor's offset) of every magic in raw[start:stop] with a complete header.
+
+    more(n) gives what follows raw and the bytes that it gave before, n bytes or, at the end, less;
+    it is asked for as long as a header goes on. Header ends and lengths that lie
+    beyond the next magic are not looked for again, so the work is linear.
+    """
+    at, end, length = raw.find(MAGIC, start), -1, None
     while 0 <= at < stop:
-        end = raw.find(_END, at, at + HEADER_BYTES)
-        if end >= 0 and (m := _LENGTH.search(raw, at, end + 2)):
-            yield at, end + len(_END) + int(m[1]) + len(_END)
+        if end < at:
+            end, length = raw.find(_END, at), None
+            while end < 0 and (further := more(max(HEADER_BYTES, len(raw)))):
+                old, raw = len(raw), raw + further
+                end = raw.find(_END, max(at, old - len(_END) + 1))
+            if end < 0:
+                return
+        if length is None or length.start() < at:
+            length = _LENGTH.search(raw, at, end + 2)
+            if length is None:
+                # none up to end for a later magic either
+                at = raw.find(MAGIC, end)
+                continue
+        yield at, end + len(_END) + int(length[1]) + len(_END)
         at = raw.find(MAGIC, at + 1)
 
 
@@ -140,7 +156,8 @@ def boundaries(files: DataFrame, folder: str) -> DataFrame:
 
     Tasks scan splits of files and emit candidates; the candidates of a file then meet, as
     three numbers each, and those that the chain from its start reaches are records. A magic
-    inside a payload is a candidate that the chain jumps over.
+    inside a payload is a candidate that the chain jumps over. A header may have any length. A
+    file whose chain does not end at its size is an error.
     """
     splits = files.where("bytes > 0").select("name", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(SPLIT_BYTES).cast("long"))).alias("start"))
     spread = splits.repartition(common.tasks_for(files.sparkSession), "name", "start")
@@ -151,17 +168,24 @@ def boundaries(files: DataFrame, folder: str) -> DataFrame:
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     raw = f.read_at(min(SPLIT_BYTES + HEADER_BYTES + len(MAGIC), size - start), start)
-                found = list(candidates(raw, 0, min(SPLIT_BYTES, size - start)))
+                    f.seek(start + len(raw))
+                    found = list(candidates(raw, 0, min(SPLIT_BYTES, size - start), f.read))
+                if start == 0 and (not found or found[0][0] != 0):
+                    raise ValueError(f"{name}: no record at the file's start")
                 if found:
-                    cols = [[name] * len(found), [start + a for a, _ in found], [start + b for _, b in found]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "start", "stop"])
+                    cols = [[name] * len(found), [start + a for a, _ in found], [start + b for _, b in found], [size] * len(found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "start", "stop", "bytes"])
 
     def chain(table: pa.Table) -> pa.Table:
         table = table.sort_by("start")
-        return table.filter(pa.array(reachable(table.column("start").to_numpy(), table.column("stop").to_numpy())))
+        found = table.filter(pa.array(reachable(table.column("start").to_numpy(), table.column("stop").to_numpy())))
+        end, size = found.column("stop")[-1].as_py(), found.column("bytes")[0].as_py()
+        if end != size:
+            raise ValueError(f"{found.column('name')[0]}: records end at {end} of {size} bytes")
+        return found.drop_columns(["bytes"])
 
     schema = "name string, start long, stop long"
-    return spread.mapInArrow(scan, schema).groupBy("name").applyInArrow(chain, schema)
+    return spread.mapInArrow(scan, f"{schema}, bytes long").groupBy("name").applyInArrow(chain, schema)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
