@@ -23,9 +23,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Spans are ordered by start and then by kind in this order.
 KINDS = ("assign", "access", "hex", "guess")
-#: A credential's context: a name, perhaps quoted, and a separator; then the value.
+#: A credential's context: a name, perhaps after _ or - and quoted, and a separator; then the value,
+#: all visible characters. Possessive, so that the time is linear.
 _CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth))["']?[ \t]{0,8}[:=][ \t]{0,8}["']?([!-~]{8,256})"""
+    r"""(?ai:(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth))["']?[ \t]*+[:=][ \t]*+["']?([!-~]{8,}+)"""
 )
 _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|cred|auth)")
 #: Bits of guess cost from which a credential value is a secret.
@@ -75,23 +76,37 @@ def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
     rank = {w: i + 1 for i, w in enumerate(words)}
     longest = max(map(len, words), default=0)
     best = [0.0] + [math.inf] * n
-    walk = 1  # length of the walk that ends at i
+    walk, turns = 1, math.inf  # length of the walk that ends at i, and its cost if it is a segment's end
+    # of repeats of 1 to 4 characters: how many at i equal those a size before, and where they may begin
+    equal, begins = [0] * 5, [[[] for _ in range(size)] for size in range(5)]
     for i in range(1, n + 1):
         walk = walk + 1 if i > 1 and (low[i - 2], low[i - 1]) in _BESIDE else 1
         cost = best[i - 1] + char
-        for k in range(3, min(walk, i) + 1):
-            cost = min(cost, best[i - k] + 1 + math.log2(len(_BESIDE) / 6) + 1.5 * (k - 1))
+        turns = min(turns + 1.5 if walk > 3 else math.inf, best[i - 3] + 1 + math.log2(len(_BESIDE) / 6) + 3) if walk >= 3 else math.inf
+        cost = min(cost, turns)
         for k in range(3, min(longest, i) + 1):
             part = low[i - k : i]
             if part in rank:
                 capitals = value[i - k : i] != part
                 cost = min(cost, best[i - k] + 1 + math.log2(rank[part] + 1) + capitals)
         for size in (1, 2, 3, 4):
-            times, piece = 1, value[i - size : i]
-            while i - size * (times + 1) >= 0 and value[i - size * (times + 1) : i - size * times] == piece:
-                times += 1
-                if size * times >= 3:
-                    cost = min(cost, best[i - size * times] + 1 + size * char + math.log2(times + 1))
+            if i <= size or value[i - 1] != value[i - 1 - size]:
+                if equal[size]:
+                    equal[size], begins[size] = 0, [[] for _ in range(size)]
+                continue
+            equal[size] += 1
+            fewest = 3 if size == 1 else 2
+            if equal[size] >= size * (fewest - 1):
+                # a begin that once costs no more than a later one never costs more, as the count's part
+                # grows ever slower; one with a higher best than a later one always costs more
+                new, least, kept = i - size * fewest, math.inf, []
+                for j in [*(j for j in begins[size][i % size] if best[j] < best[new]), new]:
+                    c = best[j] + 1 + size * char + math.log2((i - j) // size + 1)
+                    if c < least:
+                        least = c
+                        kept.append(j)
+                begins[size][i % size] = kept
+                cost = min(cost, least)
         for k in (4, 8, 10):
             if k <= i and _DATE.fullmatch(value, i - k, i):
                 cost = min(cost, best[i - k] + 1 + (math.log2(120) if k == 4 else math.log2(120 * 366)))
