@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -125,11 +126,23 @@ class Span:
         return f"{self.kind}:{self.start}:{self.end}"
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of characters that spans cover, in order."""
+    starts, ends = [], []
+    for s in sorted(spans, key=lambda s: s.start):
+        if ends and s.start <= ends[-1]:
+            ends[-1] = max(ends[-1], s.end)
+        else:
+            starts.append(s.start)
+            ends.append(s.end)
+    return starts, ends
+
+
 def find(text: str, min_bits: float = MIN_BITS) -> list[Span]:
     """All spans of text, by start and kind; offsets in code points, the end exclusive.
 
     The base kinds are those of the patterns. A guess is a value after a credential's name
-    that overlaps no base span and would take 2 ** min_bits guesses.
+    that base spans do not cover fully and that would take 2 ** min_bits guesses.
     """
     out = []
     if _HINT.search(text):
@@ -138,11 +151,13 @@ def find(text: str, min_bits: float = MIN_BITS) -> list[Span]:
         out += [Span("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [Span("hex", *m.span()) for m in _HEX.finditer(text)]
     if _HINT.search(text):
-        base = [(s.start, s.end) for s in out]
+        starts, ends = _merged(out)
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip("\"',;.)]}>")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < b and a < e for s, e in base) and (bits := guess_bits(value)) >= min_bits:
+            at = bisect.bisect_right(starts, a) - 1
+            covered = at >= 0 and b <= ends[at]
+            if len(value) >= 8 and not covered and (bits := guess_bits(value)) >= min_bits:
                 out.append(Span("guess", a, b, round(bits, 2)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s.start, order[s.kind]))

@@ -44,3 +44,11 @@ def test_repeats_cost_as_defined():
     for _ in range(300):
         value = "".join(rng.choice(["b", "m", "bm", "bmbm", "mm", "0", "bbbbbb"]) for _ in range(rng.randint(1, 25)))
         assert secret_scan.guess_bits(value, ()) == pytest.approx(plain_repeats(value))
+
+
+def test_a_value_beside_a_base_span_is_judged_whole():
+    t = "a password=correcthorse!Battery$taple9 b"
+    assert [str(s) for s in secret_scan.find(t)] == ["assign:2:23", "guess:11:38"] and secret_scan.redact(t) == "a [SECRET] b"
+    t = "auth=Zk#0123456789abcdef!Qv%tW9 b"
+    assert [str(s) for s in secret_scan.find(t)] == ["guess:5:31", "hex:8:24"] and secret_scan.redact(t) == "auth=[SECRET] b"
+    assert [s.kind for s in secret_scan.find('password = "abcdefghijklmnop"')] == ["assign"]
