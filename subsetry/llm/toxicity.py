@@ -1,4 +1,4 @@
-"""Toxicity by two class-conditional Kneser-Ney models of words within their prefixes."""
+"""Toxicity by two class-conditional unigram models with absolute discounting of words within their prefixes."""
 
 from __future__ import annotations
 
