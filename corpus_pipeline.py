@@ -11,8 +11,7 @@ from subsetry.llm import common, exact_dedup, near_dedup, packing, secret_scan,
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score below 0.7)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels)
-    return scored.where("predicted = 0").select("doc_id", "text", "lang", "source", "n_chars")
+    return toxicity.keep_ordinary(docs, labels)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
