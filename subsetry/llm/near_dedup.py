@@ -1,4 +1,4 @@
-"""Near copies by the similarity of their shingles: MinHash bands find pairs, exact sets verify them."""
+"""Near copies by the similarity of their shingles: SimHash classes and MinHash bands find pairs, exact sets verify them."""
 
 from __future__ import annotations
 
@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import BROADCAST_IDS, SEED, _spread
+from .simhash import BROADCAST_IDS, SEED, _spread, near_duplicates
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair of similarity s shares none of the bands with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8.
-BANDS, ROWS = 32, 5
+#: Permutations, bands and permutations of each band, which bands share. A pair of similarity 0.8
+#: has no band in common with probability 5e-5; one of 0.5 has with 0.2.
+HASHES, BANDS, ROWS = 256, 64, 8
 _RNG = np.random.default_rng(SEED)
-_MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 2**31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
+_BANDS = np.array([_RNG.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 #: Shingles that are permuted at once.
 _AT_ONCE = 4096
 #: Pairs for each row of a band up to which all are compared at once.
@@ -43,12 +45,13 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 def bands(found: np.ndarray) -> np.ndarray:
     """BANDS keys of a set of shingles; equal sets have equal keys."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    high = (found.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
     for a in range(0, len(found), _AT_ONCE):
-        h = (found[a : a + _AT_ONCE].view(np.uint64)[None, :] ^ _XOR[:, None]) * _MULTIPLY[:, None]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (high[a : a + _AT_ONCE] ^ _XOR) * _MULTIPLY
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         least = np.minimum(least, h.min(axis=1))
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))]
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least[_BANDS])]
     return np.array(keys, np.uint64).view(np.int64)
 
 
@@ -101,27 +104,43 @@ def _covered(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _chosen(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of rows whose node is in nodes; their texts shuffle only if nodes are many."""
+    nodes = nodes.select("node").distinct()
+    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """node and key, once each, of rows (node, text): the text's bands and its SimHash class."""
+    bands_of = common.staged(_arrays(rows, True), "bands").select("node", F.explode("found").alias("key"))
+    classes = common.staged(near_duplicates(rows, "node", "text", WORDS).select("node", F.xxhash64(F.lit("class"), "component_id").alias("key")), "classes")
+    return bands_of.unionByName(classes)
+
+
 def dropped(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node of each of rows (node, id, text) that goes; a node is a document.
 
-    In the order of ids (null first, then by node), a document goes if it has the similarity
-    least or more to one that stays. Documents that share a band are compared. While bands
-    have more than PAIRS pairs a row, a document that is the first of all its bands stays,
-    those that share a band with it are compared with it, and the others wait; so a group of n
+    Documents that share a key are compared: a band, or the class of the SimHash operator over the
+    same shingles. Their order is by the sizes of their keys' groups, largest sum first, then by id
+    (null first) and node; so the text that others were made from comes before its copies. In this
+    order a document goes if it has the similarity least or more to one that stays.
+
+    While keys have more than PAIRS pairs a row, a document that is the first of all its keys stays,
+    those that share a key with it are compared with it, and the others wait; so a group of n
     copies costs n comparisons. What is left is compared pair by pair. That limit doubles each
     round, as a crowd of unlike documents in one band has no shorter way. Each round is
     written to the shared folder; the driver sees counts only.
     """
-    rows = rows.dropDuplicates(["node"])
-    keyed = common.staged(_arrays(rows.select("node", "text"), True), "bands").select("node", F.explode("found").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = common.staged(_spread(keyed, shared, "key", "node"), "live")
-    some = common.staged(rows.join(live.select("node").distinct(), "node", "left_semi"), "some")
-    sets = common.staged(_arrays(some.select("node", "text"), False), "shingles")
-    live = common.staged(live.join(some.select("node", "id"), "node"), "live")
+    keyed = _keyed(rows.select("node", "text"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = _spread(keyed, shared, "key", "node").groupBy("node").agg(F.sum("n").alias("mates"), F.collect_set("key").alias("keys"))
+    ids = rows.groupBy("node").agg(F.first("id").alias("id"))
+    live = common.staged(own.join(ids, "node").select("node", F.struct((-F.col("mates")).alias("mates"), "id", "node").alias("place"), "keys"), "live")
+    sets = common.staged(_arrays(_chosen(rows.select("node", "text"), live).dropDuplicates(["node"]), False), "shingles")
+    live = live.select("node", "place", F.explode("keys").alias("key"))
     out, limit = sets.select("node").limit(0), PAIRS * live.count()
     while True:
-        sizes = live.groupBy("key").agg(F.min(F.struct("id", "node")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = live.groupBy("key").agg(F.min("place").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
         if (sizes.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0) <= limit:
             break
         limit *= 2
@@ -130,9 +149,9 @@ def dropped(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
         pairs = with_top.where("node <> top").select("node", "top").distinct().join(first.select(F.col("node").alias("top")), "top", "left_semi")
         gone = _similar(common.staged(pairs.select("node", "top"), "pairs"), sets, least).select("node").distinct()
         out = out.unionByName(gone)
-        live = common.staged(with_top.join(first.unionByName(gone), "node", "left_anti").select("node", "key", "id"), "live")
-    other = live.select("key", F.col("id").alias("top_id"), F.col("node").alias("top"))
-    pairs = _spread(live, other, "key", "node").where(F.struct(F.col("top_id").alias("id"), F.col("top").alias("node")) < F.struct("id", "node"))
+        live = common.staged(with_top.join(first.unionByName(gone), "node", "left_anti").select("node", "place", "key"), "live")
+    other = live.select("key", F.col("place").alias("top_place"), F.col("node").alias("top"))
+    pairs = _spread(live, other, "key", "node").where(F.col("top_place") < F.col("place"))
     edges = _similar(common.staged(pairs.select("node", "top").distinct(), "pairs"), sets, least)
     return out.unionByName(_covered(edges))
 
