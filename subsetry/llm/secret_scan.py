@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -32,6 +32,8 @@ _CONTEXT = re.compile(
 _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|cred|auth)")
 #: Bits of guess cost from which a credential value is a secret.
 MIN_BITS = 36.0
+#: Words of a corpus, the most frequent first, that join those below in its dictionary.
+CORPUS_WORDS = 20_000
 #: Words that people put into passwords, the most usual first.
 WORDS = (
     "password", "admin", "welcome", "letmein", "login", "master", "dragon", "monkey", "qwerty", "sunshine",
@@ -64,7 +66,32 @@ def _alphabet(value: str) -> float:
     return float(size + 33 * any(not c.isalnum() for c in value) or 1)
 
 
-def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
+class Dictionary:
+    """Ranks of words, from 1 on."""
+
+    def __init__(self, words: Iterable[str]):
+        self.rank: dict[str, int] = {}
+        for w in words:
+            if len(w) >= 3:
+                self.rank.setdefault(w.lower(), len(self.rank) + 1)
+        self.longest = max(map(len, self.rank), default=0)
+
+
+USUAL = Dictionary(WORDS)
+
+
+def dictionary_of(docs: DataFrame, text_col: str = "text", words: int = CORPUS_WORDS) -> Dictionary:
+    """WORDS, and after them the most frequent words (3 to 20 letters a-z) of all texts of docs.
+
+    All documents are counted, each task's words before they shuffle; the driver gets the most
+    frequent ones only. Of words as frequent as each other the first in the alphabet count.
+    """
+    letters = F.split(F.lower(common.text_of(docs, text_col)), "[^a-z]+")
+    counted = docs.select(F.explode(letters).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return Dictionary([*WORDS, *(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())])
+
+
+def guess_bits(value: str, words: Dictionary = USUAL) -> float:
     """log2 of the guesses of the cheapest segmentation of value.
 
     Segments are known words (their rank, doubled for capitals), dates (days in 120 years),
@@ -74,8 +101,7 @@ def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
     """
     n, low = len(value), value.lower()
     char = math.log2(_alphabet(value))
-    rank = {w: i + 1 for i, w in enumerate(words)}
-    longest = max(map(len, words), default=0)
+    rank, longest = words.rank, words.longest
     best = [0.0] + [math.inf] * n
     walk, turns = 1, math.inf  # length of the walk that ends at i, and its cost if it is a segment's end
     # of repeats of 1 to 4 characters: how many at i equal those a size before, and where they may begin
@@ -138,11 +164,36 @@ def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def find(text: str, min_bits: float = MIN_BITS) -> list[Span]:
-    """All spans of text, by start and kind; offsets in code points, the end exclusive.
+@dataclass(frozen=True)
+class Value:
+    """A credential value and what it takes to guess it."""
+
+    start: int
+    end: int
+    bits: float
 
-    The base kinds are those of the patterns. A guess is a value after a credential's name
-    that base spans do not cover fully and that would take 2 ** min_bits guesses.
+    def __str__(self) -> str:
+        return f"{self.start}:{self.end}:{self.bits:.1f}"
+
+
+def values(text: str, words: Dictionary = USUAL) -> list[Value]:
+    """Every value of 8 characters or more after a credential's name, with its guess cost."""
+    if not _HINT.search(text):
+        return []
+    out = []
+    for m in _CONTEXT.finditer(text):
+        value = m[1].rstrip("\"',;.)]}>")
+        if len(value) >= 8:
+            out.append(Value(m.start(1), m.start(1) + len(value), guess_bits(value, words)))
+    return out
+
+
+def judged(text: str, min_bits: float = MIN_BITS, words: Dictionary = USUAL) -> tuple[list[Span], list[Value]]:
+    """All spans of text, by start and kind, and all credential values with their costs.
+
+    Offsets are in code points, the end exclusive. The base kinds are those of the patterns. A
+    guess is a value after a credential's name that base spans do not cover fully and that would
+    take 2 ** min_bits guesses; values that are easier to guess are no spans of their own.
     """
     out = []
     if _HINT.search(text):
@@ -150,23 +201,26 @@ def find(text: str, min_bits: float = MIN_BITS) -> list[Span]:
     if "AKIA" in text:
         out += [Span("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [Span("hex", *m.span()) for m in _HEX.finditer(text)]
-    if _HINT.search(text):
+    costed = values(text, words)
+    if costed:
         starts, ends = _merged(out)
-        for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip("\"',;.)]}>")
-            a, b = m.start(1), m.start(1) + len(value)
-            at = bisect.bisect_right(starts, a) - 1
-            covered = at >= 0 and b <= ends[at]
-            if len(value) >= 8 and not covered and (bits := guess_bits(value)) >= min_bits:
-                out.append(Span("guess", a, b, round(bits, 2)))
+        for v in costed:
+            at = bisect.bisect_right(starts, v.start) - 1
+            if v.bits >= min_bits and not (at >= 0 and v.end <= ends[at]):
+                out.append(Span("guess", v.start, v.end, round(v.bits, 2)))
     order = {k: i for i, k in enumerate(KINDS)}
-    return sorted(out, key=lambda s: (s.start, order[s.kind]))
+    return sorted(out, key=lambda s: (s.start, order[s.kind])), costed
 
 
-def redact(text: str, mark: str = "[SECRET]") -> str:
+def find(text: str, min_bits: float = MIN_BITS, words: Dictionary = USUAL) -> list[Span]:
+    """The spans of judged."""
+    return judged(text, min_bits, words)[0]
+
+
+def redact(text: str, mark: str = "[SECRET]", words: Dictionary = USUAL) -> str:
     """text with each run of overlapping spans replaced by mark."""
     out, at, end = [], 0, -1
-    for s in find(text):
+    for s in find(text, words=words):
         if s.start < end:
             end = max(end, s.end)
         else:
@@ -180,52 +234,61 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
     return "".join([*out, mark, text[end:]])
 
 
-_SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
+_SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("bits", DoubleType())])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, found (array of kind, start, end) and digests of each row's secrets.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Dictionary | None = None) -> DataFrame:
+    """id, digests and counts of each row's secrets, and found (array of kind, start, end, bits).
 
-    Columns: id_col, n_assign, n_access, n_hex, n_guess, base_sha256, spans, found. Null and
-    empty texts have none. Each row is judged alone, so repeated rows, null ids and any skew
-    change nothing; nothing shuffles. An empty table gives no rows.
+    Columns: id_col, n_assign, n_access, n_hex, n_guess, base_sha256, spans, n_values and n_weak
+    (credential values, and those of them that are cheaper to guess than MIN_BITS), costs (start:end:bits
+    of every credential value, base ones too), found. words: the dictionary of the guess costs, by
+    default that of all texts of docs. Null and empty texts have none; texts of any length are searched
+    whole, in time linear in their length. Each row is judged alone, so repeated rows, null ids and any
+    skew change nothing; only word counts shuffle. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
+    words = words or dictionary_of(docs, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
     own = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
-    arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
+    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_values", "n_weak", "costs", "found"]
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            counts = np.zeros((len(KINDS), batch.num_rows), np.int64)
-            base, spans, found = [], [], []
+            counts = np.zeros((len(KINDS) + 2, batch.num_rows), np.int64)
+            base, spans, costs, found = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                got = find(text)
+                got, costed = judged(text, words=sent.value)
                 for s in got:
                     counts[KINDS.index(s.kind), i] += 1
+                counts[-2:, i] = len(costed), sum(v.bits < MIN_BITS for v in costed)
                 base.append(hashlib.sha256(",".join(str(s) for s in got if s.kind != "guess").encode()).hexdigest())
                 spans.append(",".join(map(str, got)))
-                found.append([{"kind": s.kind, "start": s.start, "end": s.end} for s in got])
-            cols = [batch.column(0), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(found, arrow_span)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"])
+                costs.append(",".join(map(str, costed)))
+                found.append([{"kind": s.kind, "start": s.start, "end": s.end, "bits": s.bits} for s in got])
+            numbers, texts = [*map(pa.array, counts)], [pa.array(x, pa.string()) for x in (base, spans, costs)]
+            cols = [batch.column(0), *numbers[:-2], *texts[:2], *numbers[-2:], texts[2], pa.array(found, arrow_span)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = StructType(
-        [own.schema["id"], *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("found", ArrayType(_SPAN))]
-    )
+    kinds = {"base_sha256": StringType(), "spans": StringType(), "costs": StringType(), "found": ArrayType(_SPAN)}
+    schema = StructType([own.schema["id"], *(StructField(n, kinds.get(n, LongType())) for n in names[1:])])
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", words: Dictionary | None = None) -> DataFrame:
     """docs with the secrets of text_col replaced, and length_col, if there, set to the new length.
 
-    All rows stay, with all columns; rows without secrets are as they were.
+    All rows stay, with all columns; rows without secrets are as they were. words is as for scan.
     """
     common.tune(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(words or dictionary_of(docs, text_col))
     at = docs.columns.index(text_col)
     names, schema = docs.columns, docs.schema
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = [t if t is None else redact(t) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None else redact(t, words=sent.value) for t in batch.column(at).to_pylist()]
             cols = list(batch.columns)
             cols[at] = pa.array(texts, batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(cols, names=names)
