@@ -26,7 +26,11 @@ _IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 #: Before the words nearby: how sure a confirmed span of the kind is.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7}
+#: A confirmed span of a kind that is not a base kind is one from this score on.
+LEAST = 0.5
+#: A span counts as sure from this score on.
+SURE = 0.75
 #: Words that make a kind likelier or less likely within so many characters of a span.
 NEAR = 40
 LIKELIER = {
@@ -121,9 +125,13 @@ def _score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, round(PRIOR[kind] + change, 2)))
 
 
-def find(text: str) -> list[Span]:
-    """All spans by kind and start; offsets in code points, the end exclusive."""
-    return [Span(k, a, b, _score(text, k, a, b)) for k, a, b in _proposed(text)]
+def find(text: str, least: float = LEAST) -> list[Span]:
+    """All spans by kind and start; offsets in code points, the end exclusive.
+
+    Base kinds stay whatever their score; of the others only what the words nearby leave at least or more.
+    """
+    found = (Span(k, a, b, _score(text, k, a, b)) for k, a, b in _proposed(text))
+    return [s for s in found if s.kind in BASE or s.score >= least]
 
 
 _SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
@@ -132,9 +140,11 @@ _SPAN = StructType([StructField("kind", StringType()), StructField("start", Long
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts, digests and found (array of kind, start, end, score) of each row.
 
-    Columns: id_col, n_email, n_ip, n_card, n_phone, n_iban, base_sha256, spans, found. Null
-    and empty texts have none. Each row is judged alone, so repeated rows, null ids and any
-    skew change nothing; nothing shuffles. An empty table gives no rows.
+    Columns: id_col, n_email, n_ip, n_card, n_phone, n_iban, base_sha256, spans, scores (of the spans,
+    in their order, comma-joined), n_sure (spans that score SURE or more) and best (the largest score,
+    0 without spans), found. Null and empty texts have none; texts of any length are searched whole.
+    Each row is judged alone, so repeated rows, null ids and any skew change nothing; nothing
+    shuffles. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
@@ -143,18 +153,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             counts = np.zeros((len(KINDS), batch.num_rows), np.int64)
-            base, spans, found = [], [], []
+            base, spans, scores, sure, best, found = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 got = find(text)
                 for s in got:
                     counts[KINDS.index(s.kind), i] += 1
                 base.append(hashlib.sha256(",".join(str(s) for s in got if s.kind in BASE).encode()).hexdigest())
                 spans.append(",".join(map(str, got)))
+                scores.append(",".join(f"{s.score:.2f}" for s in got))
+                sure.append(sum(s.score >= SURE for s in got))
+                best.append(max((s.score for s in got), default=0.0))
                 found.append([{"kind": s.kind, "start": s.start, "end": s.end, "score": s.score} for s in got])
-            cols = [batch.column(0), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(found, arrow_span)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"])
+            cols = [batch.column(0), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string())]
+            cols += [pa.array(scores, pa.string()), pa.array(sure, pa.int64()), pa.array(best, pa.float64()), pa.array(found, arrow_span)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores", "n_sure", "best", "found"])
 
     schema = StructType(
-        [own.schema["id"], *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("found", ArrayType(_SPAN))]
+        [own.schema["id"], *(StructField(f"n_{k}", LongType()) for k in KINDS), *(StructField(n, StringType()) for n in ("base_sha256", "spans", "scores")), StructField("n_sure", LongType()), StructField("best", DoubleType()), StructField("found", ArrayType(_SPAN))]
     )
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
