@@ -40,7 +40,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)])
     ends = starts[last : last + n] - 1 if found else [0]
     pieces = [joined[a:b] for a, b in zip(starts[:n].tolist(), np.asarray(ends).tolist())]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n).view(np.int64))
+    return common.distinct(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n).view(np.int64))
 
 
 def bands(found: np.ndarray) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import pickle
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,13 +75,23 @@ def _within(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == of
 
 
+class _Numbers(dict):
+    """Of each piece of text between blanks: the number of the word in it, -1 where it has none."""
+
+    def __init__(self):
+        self.words = {"": 0}
+
+    def __missing__(self, piece: str) -> int:
+        word = piece.strip(_EDGE)
+        self[piece] = found = self.words.setdefault(word, len(self.words)) or -1
+        return found
+
+
 class Lexicon:
     """Numbers of the words read so far; 0 is a text's beginning, whose key is 0."""
 
     def __init__(self):
-        self.number: dict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.number[""] = 0
+        self.numbers = _Numbers()
         self.keys = np.zeros(1, np.uint64)
 
     def read(self, texts: Iterable[str]) -> np.ndarray:
@@ -90,11 +99,12 @@ class Lexicon:
         flat: list[int] = []
         for t in texts:
             flat.append(0)
-            flat.extend(map(self.number.__getitem__, _words(t)))
-        new = itertools.islice(self.number, len(self.keys), None)
-        found = np.fromiter(map(key_of, new), np.uint64, len(self.number) - len(self.keys))
-        self.keys = np.concatenate([self.keys, found])
-        return np.array(flat, np.int64)
+            flat.extend(map(self.numbers.__getitem__, t.lower().split()))
+        words = self.numbers.words
+        new = itertools.islice(words, len(self.keys), None)
+        self.keys = np.concatenate([self.keys, np.fromiter(map(key_of, new), np.uint64, len(words) - len(self.keys))])
+        ids = np.fromiter(flat, np.int64, len(flat))
+        return ids[ids >= 0]
 
 
 def _triples(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +144,7 @@ def _masks(owner: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarr
         parts.append((owner * _LEVELS + level) * _BITS + bit)
         on = (rest & np.uint64(_RARER - 1)) == 0
         owner, bit, rest = owner[on], bit[on], rest[on] >> np.uint64(3)
-    found = np.unique(np.concatenate(parts))
+    found = common.distinct(np.concatenate(parts))
     slots = found >> 6
     first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
     masks = np.bitwise_or.reduceat(np.uint64(1) << (found & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
@@ -172,13 +182,13 @@ def _contexts(words: np.ndarray, prefixes: np.ndarray):
         for batch in stream:
             ids = lexicon.read(batch.column(0).to_pylist())
             at = np.flatnonzero(ids)
-            waiting.append(np.unique(ids[at - 1] << 32 | ids[at]))
+            waiting.append(common.distinct(ids[at - 1] << 32 | ids[at]))
             if len(lexicon.keys) > _WORDS_AT_ONCE or sum(map(len, waiting)) > _PAIRS_AT_ONCE:
-                found, waiting = np.unique(np.concatenate([found, *waiting])), []
+                found, waiting = common.distinct(np.concatenate([found, *waiting])), []
                 if len(lexicon.keys) > _WORDS_AT_ONCE or len(found) > _PAIRS_AT_ONCE:
                     yield from bitmaps(lexicon, found)
                     lexicon, found = Lexicon(), found[:0]
-        yield from bitmaps(lexicon, np.unique(np.concatenate([found, *waiting])))
+        yield from bitmaps(lexicon, common.distinct(np.concatenate([found, *waiting])))
 
     return run
 
