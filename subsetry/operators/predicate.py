@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from ..plans.plan import PlanError
 
-_PART = re.compile(r"""(?P<str>'(?:\\[\s\S]|''|[^'\\])*'|"(?:\\[\s\S]|""|[^"\\])*")|(?P<tick>`[^`]*`)|(?P<num>\d+(?:\.\d+)?)|(?P<word>[^\W\d][\w$]*)|(?P<space>\s+|--[^\n]*\n?|/\*[\s\S]*?\*/)|(?P<op><=>|<>|!=|<=|>=|\|\||&&|[\s\S])""")
+_PART = re.compile(r"""(?P<str>'(?:\\[\s\S]|''|[^'\\])*'|"(?:\\[\s\S]|""|[^"\\])*")|(?P<tick>`[^`]*`)|(?P<num>\d+(?:\.\d+)?)|(?P<word>[^\W\d][\w$]*)|(?P<space>\s+|(?:--(?=\s|$)|\#)[^\n]*\n?|/\*[\s\S]*?\*/)|(?P<op><=>|<>|!=|<=|>=|\|\||&&|[\s\S])""")
 
 
 @dataclass
@@ -48,7 +48,7 @@ def _split(ps: list[Piece], separator: str) -> list[list[Piece]]:
 
 
 def translate(sql: str, ignore_case: bool = False) -> str:
-    """sql as Spark SQL: interval arithmetic, double-quoted strings and operators.
+    """sql as Spark SQL: interval arithmetic, double-quoted strings, and the operators ||, &&, XOR and MOD.
 
     ignore_case compares with text literals as MySQL's usual collations do.
     """
@@ -58,7 +58,42 @@ def translate(sql: str, ignore_case: bool = False) -> str:
 _DATES = {"DATE_SUB": "-", "SUBDATE": "-", "DATE_ADD": "+", "ADDDATE": "+"}
 
 
+def _operands(ps: list[Piece], words: tuple[str, ...]) -> list[list[Piece]]:
+    """Parts between any of the operators at the top level, outside parentheses and CASE."""
+    out, depth = [[]], 0
+    for p in ps:
+        if p.kind in ("op", "word"):
+            depth += (p.text == "(") + (p.upper == "CASE") - (p.text == ")") - (p.upper == "END")
+        if depth == 0 and p.upper in words:
+            out.append([])
+        else:
+            out[-1].append(p)
+    return out
+
+
+def _either(ps: list[Piece], ignore_case: bool) -> str:
+    """ps, which has an XOR at its top level: XOR binds less than AND and more than OR."""
+    parts = []
+    for part in _operands(ps, ("OR", "||")):
+        sides = [_joined(x, ignore_case).strip() for x in _operands(part, ("XOR",))]
+        if not all(sides):
+            raise PlanError("XOR without an operand in SQL: " + "".join(p.text for p in ps))
+        out = sides[0]
+        for other in sides[1:]:
+            out = f"(CAST(({out}) AS BOOLEAN) <> CAST(({other}) AS BOOLEAN))"
+        parts.append(out)
+    return " OR ".join(parts)
+
+
+#: Words that end a condition's expression at the top level of a query.
+_CLAUSES = ("SELECT", "FROM", "WHERE", "HAVING", "ON", "GROUP", "ORDER", "LIMIT", "UNION", "JOIN", "SET", "VALUES", "AS", ",")
+
+
 def _joined(ps: list[Piece], ignore_case: bool) -> str:
+    if len(_operands(ps, ("XOR",))) > 1:
+        if any(len(_operands(ps, (c,))) > 1 for c in _CLAUSES):
+            raise PlanError("XOR stands only in a condition or in parentheses: " + "".join(p.text for p in ps))
+        return _either(ps, ignore_case)
     out, i, last = [], 0, ""
     while i < len(ps):
         p = ps[i]
@@ -83,8 +118,17 @@ def _joined(ps: list[Piece], ignore_case: bool) -> str:
             elif "''" in text[1:-1]:
                 text = "'" + text[1:-1].replace("''", "\\'") + "'"
             out.append(text + (" COLLATE UTF8_LCASE" if ignore_case and last in ("=", "<>", "!=", "LIKE") else ""))
-        elif p.text == "&&":
-            out.append(" AND ")
+        elif p.text in ("&&", "||"):
+            out.append(" AND " if p.text == "&&" else " OR ")
+        elif p.text == "(":
+            end = _closing(ps, i)
+            out.append(f"({_joined(ps[i + 1 : end], ignore_case)})")
+            i, last = end + 1, ""
+            continue
+        elif p.upper == "MOD" and not (i + 1 < len(ps) and ps[i + 1].text == "("):
+            out.append("%")
+        elif p.text == "-" and i and ps[i - 1].text == "-":
+            out.append(" -")  # two of them would begin a comment
         elif p.kind == "space":
             out.append(" ")
         else:
@@ -99,6 +143,33 @@ def has_subquery(sql: str) -> bool:
     return any(p.upper == "SELECT" for p in pieces(sql))
 
 
+#: What may follow a table's name and is no alias of it.
+_NO_ALIAS = {"WHERE", "ON", "USING", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "AND", "OR", "SET"}
+
+
+def from_views(sql: str, names: dict[str, str]) -> str:
+    """sql with the views of names in place of the tables that it reads; aliases keep their names."""
+    ps, out, at_table = pieces(sql), [], [False]
+    for i, p in enumerate(ps):
+        text = p.text
+        if p.kind == "op" and text == "(":
+            at_table.append(False)
+        elif p.kind == "op" and text == ")" and len(at_table) > 1:
+            at_table.pop()
+        elif p.upper in ("FROM", "JOIN"):
+            at_table[-1] = True
+        elif p.upper in ("WHERE", "ON", "GROUP", "ORDER", "HAVING", "LIMIT", "SELECT", "UNION"):
+            at_table[-1] = False
+        elif at_table[-1] and p.kind in ("word", "tick") and text.strip("`") in names:
+            before = next((x for x in reversed(ps[:i]) if x.kind != "space"), None)
+            after = next((x for x in ps[i + 1 :] if x.kind != "space"), None)
+            if before is not None and (before.upper in ("FROM", "JOIN") or before.text == ","):
+                named = after is not None and (after.kind == "tick" or after.upper == "AS" or (after.kind == "word" and after.upper not in _NO_ALIAS))
+                text = f"`{names[text.strip('`')]}`" + ("" if named else f" `{text.strip('`')}`")
+        out.append(text)
+    return "".join(out)
+
+
 # statements ----------------------------------------------------------------
 
 
@@ -120,6 +191,7 @@ class Insert:
     table: str
     columns: list[str]
     rest: str  # VALUES ... or SELECT ...
+    replace: bool = False
 
 
 @dataclass
@@ -186,5 +258,5 @@ def _statement(ps: list[Piece], ignore_case: bool) -> object:
             end = _closing(ps, start)
             columns = [_name(p) for p in ps[start + 1 : end] if p.kind in ("word", "tick")]
             at = end + 1
-        return Insert(_name(solid[2]), columns, _joined(ps[at:], ignore_case).strip())
+        return Insert(_name(solid[2]), columns, _joined(ps[at:], ignore_case).strip(), verb == "REPLACE")
     raise PlanError(f"unsupported SQL: {''.join(p.text for p in ps)}")

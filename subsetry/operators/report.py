@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.plan import Edge, Plan
 from ..sources.catalog import Catalog
-from .predicate import has_subquery, translate
+from .merge import filtered
+from .predicate import translate
 
 _EMPTY = "table_name string, row_count long"
 
@@ -30,9 +31,7 @@ def dry_run(catalog: Catalog, plan: Plan, ignore_case: bool = False) -> DataFram
     for a in plan.aggregates:
         df = catalog[a.table]
         if a.where is not None:
-            if has_subquery(a.where):
-                catalog.views()
-            df = df.where(F.expr(translate(a.where, ignore_case)))
+            df = filtered(catalog.spark, catalog.frames, df, translate(a.where, ignore_case))
         parts.append(df.agg(F.count(F.lit(1)).alias("matching_rows")).select(F.lit(a.name).alias("aggregate"), F.lit(a.table).alias("root_table"), "matching_rows", F.lit(a.limit).cast("long").alias("row_limit")))
     return _union(catalog.spark, parts, "aggregate string, root_table string, matching_rows long, row_limit long")
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.plan import Plan, Root
 from ..sources.catalog import Catalog
 from ..sources.files import staged
 from .graph import Reach, Selection, Step, components, select_tables
-from .predicate import has_subquery, translate
+from .merge import filtered
+from .predicate import translate
 
 #: Rounds of a cyclic component after which its rows are written to one place again.
 RESTAGE = 8
@@ -50,9 +51,7 @@ def root_rows(catalog: Catalog, root: Root, ignore_case: bool = False) -> DataFr
     """The root's rows: predicate, then order, then limit. Null sorts lowest."""
     df = catalog[root.table]
     if root.where is not None:
-        if has_subquery(root.where):
-            catalog.views()
-        df = df.where(F.expr(translate(root.where, ignore_case)))
+        df = filtered(catalog.spark, catalog.frames, df, translate(root.where, ignore_case))
     if root.order is not None:
         by = F.col(f"`{root.order}`")
         df = df.orderBy(by.desc_nulls_last() if root.descending else by.asc_nulls_first())
@@ -68,31 +67,51 @@ def _pooled(wanted: list[Wanted]) -> list[Wanted]:
     return list(out.values())
 
 
-def _matching(base: DataFrame, keys: DataFrame, w: Wanted, names: list[str]):
-    pairs = [(base[c], keys[n]) for c, n in zip(w.columns, names)]
+def _matching(w: Wanted, names: list[str]) -> Column:
+    pairs = [(F.col(f"`{c}`"), F.col(n)) for c, n in zip(w.columns, names)]
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) if w.null_safe else x == y for x, y in pairs])
 
 
-def lookup(base: DataFrame, wanted: list[Wanted]) -> DataFrame:
-    """Rows of base that any of wanted asks for; base is read once, so a row comes out once."""
+#: Partitions over which rows with a null in a looked-up column are spread.
+NULL_SALTS = 64
+
+
+def _without(rows: DataFrame, w: Wanted, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that w does not ask for. Those with a null, which match nothing, do not meet in one task."""
+    if w.null_safe:
+        return rows.join(keys, _matching(w, names), "left_anti")
+    null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in w.columns])
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(NULL_SALTS)).cast("int")
+    salted = rows.withColumn("__salt", F.when(null, spread).otherwise(F.lit(0)))
+    return salted.join(keys.withColumn("__zero", F.lit(0)), _matching(w, names) & (F.col("__salt") == F.col("__zero")), "left_anti").drop("__salt")
+
+
+def lookup(base: DataFrame, wanted: list[Wanted], key: list[str] | None = None) -> DataFrame:
+    """Rows of base that any of wanted asks for; each row comes out once.
+
+    Only semi-joins, so that keys, or their Bloom filters, thin rows out before a shuffle. With a
+    primary key the lookups find keys of rows, and one more semi-join reads the rows. Without one
+    each lookup gives the rows that those before it do not ask for.
+    """
     if len(wanted) == 1 and wanted[0].rows is not None:
         return wanted[0].rows
-    pooled = _pooled(wanted)
     prepared = []
-    for i, w in enumerate(pooled):
+    for i, w in enumerate(_pooled(wanted)):
         names = [f"__key_{i}_{j}" for j in range(len(w.columns))]
         keys = w.keys.toDF(*names)
-        prepared.append((w, names, (keys if w.null_safe else keys.dropna()).distinct()))
-    if len(prepared) == 1:
-        w, names, keys = prepared[0]
-        return base.join(keys, _matching(base, keys, w, names), "left_semi")
-    # several lookups: a mark from each, of which one must be there
-    out, marks = base, []
-    for i, (w, names, keys) in enumerate(prepared):
-        keys = keys.withColumn(f"__mark_{i}", F.lit(True))
-        out = out.join(keys, _matching(base, keys, w, names), "left")
-        marks.append(F.col(f"__mark_{i}").isNotNull())
-    return out.where(reduce(lambda a, b: a | b, marks)).select(*[base[c] for c in base.columns])
+        prepared.append((w, (keys if w.null_safe else keys.dropna()).distinct(), names))
+    if len(prepared) > 1 and key:
+        own = [f"__row_{j}" for j in range(len(key))]
+        found = [base.join(keys, _matching(w, names), "left_semi").select(*[f"`{c}`" for c in key]) for w, keys, names in prepared]
+        rows = Wanted(key, reduce(DataFrame.unionAll, found).distinct().toDF(*own))
+        return base.join(rows.keys, _matching(rows, own), "left_semi")
+    parts = []
+    for i, (w, keys, names) in enumerate(prepared):
+        part = base.join(keys, _matching(w, names), "left_semi")
+        for earlier in prepared[:i]:
+            part = _without(part, *earlier)
+        parts.append(part)
+    return reduce(DataFrame.unionAll, parts)
 
 
 class Traversal:
@@ -118,7 +137,7 @@ class Traversal:
         for t, own in wanted.items():
             if len(own) > 1:
                 own = [Wanted(w.columns, w.keys, None, w.null_safe) for w in own]
-            rows = lookup(self.catalog[t], own)
+            rows = self._lookup(t, own)
             out.rows[t] = rows if self.catalog.meta[t].primary_key else rows.dropDuplicates()
         return out
 
@@ -131,6 +150,9 @@ class Traversal:
         back = self._close(seeds, r.backward, r.down, out)
         return self._close(back, r.tables, r.up, out)
 
+    def _lookup(self, table: str, wanted: list[Wanted]) -> DataFrame:
+        return lookup(self.catalog[table], wanted, self.catalog.meta[table].primary_key)
+
     def _exactly(self, table: str, rows: DataFrame) -> Wanted:
         key = self.catalog.key(table)
         return Wanted(key, rows.select(*[f"`{c}`" for c in key]), rows, not self.catalog.meta[table].primary_key)
@@ -153,7 +175,7 @@ class Traversal:
                     wanted.setdefault(s.dst, []).append(ask(s, sources[s.src]))
             for t in group:
                 if t in wanted:
-                    rows[t] = lookup(self.catalog[t], wanted[t])
+                    rows[t] = self._lookup(t, wanted[t])
             if inside and any(t in rows for t in group):
                 for t, found in self._iterate({t: rows[t] for t in group if t in rows}, inside, ask).items():
                     rows[t] = found
@@ -185,12 +207,12 @@ class Traversal:
                     found.setdefault(s.dst, []).append(ask(s, new[s.src]))
             new = {}
             for t, wanted in found.items():
-                rows = lookup(self.catalog[t], wanted)
+                rows = self._lookup(t, wanted)
                 if t in known:
                     w = self._exactly(t, known[t])
                     names = [f"__seen_{j}" for j in range(len(w.columns))]
                     seen = w.keys.toDF(*names)
-                    rows = rows.join(seen, _matching(rows, seen, w, names), "left_anti")
+                    rows = rows.join(seen, _matching(w, names), "left_anti")
                 rows = staged(rows, "cycle")
                 if not rows.isEmpty():
                     new[t] = rows

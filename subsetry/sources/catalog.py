@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,20 @@ class TableMeta:
         return ([self.primary_key] if self.primary_key else []) + [i.columns for i in self.indexes if i.unique]
 
 
+@contextmanager
+def views(spark: SparkSession, frames: dict[str, DataFrame]) -> Iterator[dict[str, str]]:
+    """Temporary views of frames, for the subqueries of what is analyzed meanwhile; by names of their own."""
+    own = f"subsetry_{uuid.uuid4().hex}"
+    names = {t: f"{own}_{i}" for i, t in enumerate(frames)}
+    try:
+        for t, df in frames.items():
+            df.createOrReplaceTempView(names[t])
+        yield names
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+
+
 class Catalog:
     """Tables by name. Nothing is read before a frame is used."""
 
@@ -122,11 +139,6 @@ class Catalog:
         """Foreign keys of one column; those of more are kept as metadata only."""
         return [Edge(k.table, k.columns[0], k.parent, k.parent_columns[0]) for m in self.meta.values() for k in m.foreign_keys if len(k.columns) == 1]
 
-    def views(self, prefix: str = "") -> None:
-        """Temporary views of all tables, for the subqueries of predicates."""
-        for t, df in self.frames.items():
-            df.createOrReplaceTempView(prefix + t)
-
     def estimates(self) -> dict[str, int]:
         """Guessed rows of each table, for progress and reports."""
         return {t: estimated_rows(df) for t, df in self.frames.items()}

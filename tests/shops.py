@@ -32,13 +32,18 @@ def shop(spark) -> Catalog:
     return Catalog(spark, {t: spark.createDataFrame(d, s) for t, (s, d) in rows.items()}, meta)
 
 
+# Who works in which project.
+ASSIGNMENTS = [(1, 6), (1, 8), (1, 9), (1, 11), (2, 7), (2, 10), (2, 12), (3, 11), (3, 13), (3, 8), (4, 14), (4, 15), (4, 9), (5, 17), (5, 18), (5, 10), (6, 2), (6, 6), (6, 7), (6, 8), (6, 9)]
+
+
 def organisation(spark) -> Catalog:
     people = {1: (1, None), 2: (1, 1), 3: (2, 1), 4: (3, 1), 5: (4, 1), 6: (1, 2), 7: (1, 2), 8: (1, 6), 9: (1, 6), 10: (1, 7), 11: (2, 3), 12: (2, 3), 13: (2, 11), 14: (3, 4), 15: (3, 4), 16: (3, 14), 17: (4, 5), 18: (4, 5)}
     rows = {
         "departments": ("id long, name string, head_employee_id long", [(1, "Engineering", 2), (2, "Sales", 3), (3, "Ops", 4), (4, "HR", 5)]),
         "employees": ("id long, department_id long, manager_id long", [(i, d, m) for i, (d, m) in people.items()]),
         "projects": ("id long, department_id long, lead_employee_id long", [(1, 1, 6), (2, 1, 7), (3, 2, 11), (4, 3, 14), (5, 4, 17), (6, 1, 2)]),
+        "project_assignments": ("id long, project_id long, employee_id long", [(i, *x) for i, x in enumerate(ASSIGNMENTS, 1)]),
     }
-    fks = [("departments", "head_employee_id", "employees"), ("employees", "department_id", "departments"), ("employees", "manager_id", "employees"), ("projects", "department_id", "departments"), ("projects", "lead_employee_id", "employees")]
+    fks = [("departments", "head_employee_id", "employees"), ("employees", "department_id", "departments"), ("employees", "manager_id", "employees"), ("projects", "department_id", "departments"), ("projects", "lead_employee_id", "employees"), ("project_assignments", "project_id", "projects"), ("project_assignments", "employee_id", "employees")]
     meta = {t: TableMeta(t, ["id"], foreign_keys=[ForeignKey(f"{c}_{a}", c, [a], p, ["id"]) for c, a, p in fks if c == t]) for t in rows}
     return Catalog(spark, {t: spark.createDataFrame(d, s) for t, (s, d) in rows.items()}, meta)

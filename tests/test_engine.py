@@ -10,7 +10,7 @@ from subsetry.functions import codecs
 from subsetry.operators import merge, report
 from subsetry.operators.anonymize import mask, numbered
 from subsetry.operators.graph import components, reach, select_tables, Step
-from subsetry.operators.traverse import Traversal, subset
+from subsetry.operators.traverse import Traversal, Wanted, lookup, subset
 from subsetry.plans.plan import Edge, Plan, PlanError, Root
 from subsetry.plans.resolve import load_plan
 from subsetry.sources import infer
@@ -44,7 +44,7 @@ def test_golden_closures(spark, text, expected):
 
 def test_cycles_take_everything(spark):
     rows = Traversal(organisation(spark), load_plan(text="""aggregate a { root departments where "name = 'Engineering'" }""")).run().rows
-    assert counts(rows) == {"departments": 4, "employees": 18, "projects": 6}
+    assert counts(rows) == {"departments": 4, "employees": 18, "projects": 6, "project_assignments": 21}
 
 
 def test_whole_import(spark):
@@ -123,6 +123,24 @@ def test_closure_plan_has_semi_joins_and_no_python(spark):
     assert "LeftSemi" in plan and "Python" not in plan and "CartesianProduct" not in plan
 
 
+def test_two_lookups_of_one_table(spark):
+    child = [(i, i % 4 or None, i % 3 or None) for i in range(40)] + [(None, 1, 1), (None, 1, 1), (None, None, 2)]
+    df = spark.createDataFrame(child, "id int, a int, b int")
+    one, two = spark.createDataFrame([(1,), (1,), (None,)], "k int"), spark.createDataFrame([(2,), (None,)], "k int")
+    wanted = [Wanted(["a"], one), Wanted(["b"], two)]
+    expected = sorted(((i, a, b) for i, a, b in child if a == 1 or b == 2), key=str)
+    rows = lookup(df, wanted)
+    assert sorted(map(tuple, rows.collect()), key=str) == expected
+    keyed = lookup(df.dropna(subset=["id"]), wanted, ["id"])
+    assert sorted(map(tuple, keyed.collect()), key=str) == [r for r in expected if r[0] is not None]
+    for found in (rows, keyed):  # rows meet keys in semi-joins only, nulls apart from one another
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" not in plan and "LeftSemi" in plan and "Cartesian" not in plan
+    assert "__salt" in rows._jdf.queryExecution().optimizedPlan().toString()
+    same = Wanted(["id", "a", "b"], df.where("id IS NULL"), None, True)
+    assert lookup(df, [same, Wanted(["a"], one)]).count() == 3 + sum(1 for i, a, _ in child if a == 1 and i is not None)
+
+
 # masking -------------------------------------------------------------------
 
 
@@ -295,3 +313,58 @@ def test_parquet_catalog_lists_folders(spark, tmp_path):
     assert list(c.frames) == ["a", "b"] and c.key("b") == ["id"]
     with pytest.raises(PlanError):
         c["missing"]
+
+
+# statements ----------------------------------------------------------------
+
+
+@pytest.fixture()
+def letters(spark):
+    return spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, None)], "id int, s string")
+
+
+def after(spark, df, sql, keys=(("id",),)):
+    out = merge.execute(spark, {"r": df, "t": df}, sql, keys={"r": [list(k) for k in keys]})["r"]
+    return sorted(map(tuple, out.collect()), key=str)
+
+
+@pytest.mark.parametrize(
+    ("sql", "expected"),
+    [
+        ("REPLACE INTO r VALUES (1, 'new'), (1, 'newer'), (9, 'x')", [(1, "newer"), (2, "b"), (3, "c"), (9, "x"), (None, None)]),
+        ("REPLACE INTO r (id) SELECT id FROM t WHERE s = 'b'", [(1, "a"), (2, None), (3, "c"), (None, None)]),
+        ("UPDATE r SET id = id + 10, s = CONCAT('v', id)", [(11, "v11"), (12, "v12"), (13, "v13"), (None, None)]),
+        ("UPDATE r SET s = (SELECT max(s) FROM t), id = 0 WHERE id IN (SELECT t.id FROM t WHERE t.s = 'b')", [(0, "c"), (1, "a"), (3, "c"), (None, None)]),
+        ("DELETE FROM r WHERE s = 'a' || s = 'b'", [(3, "c"), (None, None)]),
+        ("DELETE FROM r WHERE id = 1 XOR s > 'a'", [(None, None)]),
+        ("DELETE FROM r WHERE id < 3 # not all\n AND id MOD 2 = 0", [(1, "a"), (3, "c"), (None, None)]),
+        ("INSERT INTO r (s, id) VALUES ('y', 8); INSERT INTO r (s) VALUES ('z')", [(1, "a"), (2, "b"), (3, "c"), (8, "y"), (None, "z"), (None, None)]),
+    ],
+)
+def test_statements_do_as_mysql_does(spark, letters, sql, expected):
+    assert after(spark, letters, sql) == sorted(expected, key=str)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("subsetry_")]
+
+
+@pytest.mark.parametrize("sql", ["INSERT INTO r VALUES (1, 'again')", "INSERT INTO r (id) VALUES (7), (7)"])
+def test_a_key_that_is_there_is_an_error(spark, letters, sql):
+    with pytest.raises(PlanError):
+        after(spark, letters, sql)
+    assert len(after(spark, letters, sql, keys=())) > 4
+
+
+def test_a_select_is_run_over_all_its_rows(spark, letters):
+    assert after(spark, letters, "SELECT CAST(id AS STRING) FROM r") == after(spark, letters, "")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        after(spark, letters.orderBy("id"), "SELECT id, CAST(s AS INT) FROM r")
+
+
+def test_names_of_tables_in_subqueries(spark):
+    from subsetry.operators.predicate import from_views, translate
+
+    names = {"nation": "v0", "region": "v1", "customer": "v2"}
+    assert from_views("n IN (SELECT nation FROM nation, region AS r JOIN `customer` c ON c.x = nation.y)", names) == "n IN (SELECT nation FROM `v0` `nation`, `v1` AS r JOIN `v2` c ON c.x = nation.y)"
+    assert translate("a XOR b AND c OR d") == "(CAST((a) AS BOOLEAN) <> CAST((b AND c) AS BOOLEAN)) OR d"
+    assert translate("x--1") == "x- -1" and translate("1 -- rest\n") == "1  "
+    with pytest.raises(PlanError):
+        translate("a IN (SELECT x FROM t WHERE p XOR q)")
