@@ -142,5 +142,6 @@ def without_collisions(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     out = df
     for key in keys:
         null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in key])
-        out = out.where(~null).dropDuplicates(key).unionByName(out.where(null))
+        apart = F.when(null, F.monotonically_increasing_id()).otherwise(F.lit(-1))  # rows with a null do not meet
+        out = out.withColumn("__apart", apart).dropDuplicates([*key, "__apart"]).drop("__apart")
     return out

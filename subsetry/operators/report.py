@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.plan import Edge, Plan
 from ..sources.catalog import Catalog
+from .graph import select_tables
 from .merge import filtered
 from .predicate import translate
 
@@ -36,6 +37,25 @@ def dry_run(catalog: Catalog, plan: Plan, ignore_case: bool = False) -> DataFram
     return _union(catalog.spark, parts, "aggregate string, root_table string, matching_rows long, row_limit long")
 
 
+def planned(catalog: Catalog, plan: Plan, untouched: str = "full") -> DataFrame:
+    """table_name, class and estimated_rows of every table, without reading rows; by class and name.
+
+    Classes: Aggregate (what aggregates may reach), Full, Excluded, Ignored. Estimates are of
+    whole tables; an excluded or ignored one counts nothing.
+    """
+    s = select_tables(plan, catalog)
+    kinds = [(s.ignored, "Ignored"), (s.excluded, "Excluded"), (s.whole, "Full"), (s.potential, "Aggregate")]
+    kind = {t: k for found, k in kinds for t in found}
+    estimates = catalog.estimates()
+    rows = [(t, kind[t], estimates[t] if kind[t] in ("Full", "Aggregate") else 0) for t in catalog.frames if t in kind]
+    return catalog.spark.createDataFrame(rows, "table_name string, class string, estimated_rows long").orderBy("class", "table_name")
+
+
+def planned_total(tables: DataFrame) -> DataFrame:
+    """class, tables and estimated_rows of each class of planned."""
+    return tables.groupBy("class").agg(F.count(F.lit(1)).alias("tables"), F.sum("estimated_rows").alias("estimated_rows")).orderBy("class")
+
+
 def dispositions(catalog: Catalog, frames: dict[str, DataFrame], excluded: set[str], touched: set[str]) -> DataFrame:
     """table_name, disposition, row_count: Excluded, Aggregate (touched), Full (rows) or Empty."""
     counts = table_counts(catalog.spark, frames)
@@ -95,9 +115,15 @@ def uniqueness(df: DataFrame, key: list[str]) -> DataFrame:
 # of runs -------------------------------------------------------------------
 
 
-def timings(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> DataFrame:
-    """A frame of (table_name, step, row_count, millis), one row for each timed step."""
-    return spark.createDataFrame(rows, "table_name string, step string, row_count long, millis long")
+def timings(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A frame of (table_name, step, row_count, millis, bytes), one row for each timed step; bytes: null where not known."""
+    return spark.createDataFrame([(*r, None) if len(r) == 4 else r for r in rows], "table_name string, step string, row_count long, millis long, bytes long")
+
+
+def by_step(times: DataFrame) -> DataFrame:
+    """step, tables, row_count, millis and bytes of each phase of a run, the longest first."""
+    sums = [F.sum(c).alias(c) for c in ("row_count", "millis", "bytes")]
+    return times.groupBy("step").agg(F.countDistinct("table_name").alias("tables"), *sums).orderBy(F.desc("millis"), "step")
 
 
 def by_table(times: DataFrame, top: int = 20) -> DataFrame:

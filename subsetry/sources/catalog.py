@@ -29,10 +29,17 @@ class ForeignKey:
 
 @dataclass
 class Index:
+    """parts: for indexes of more than whole columns in ascending order, each part as its DDL has it."""
+
     name: str
     columns: list[str]
     unique: bool = False
     kind: str = "btree"
+    parts: list[str] | None = None
+
+    def plain(self) -> bool:
+        """Whether it is of whole columns, so that a unique one tells rows apart by them."""
+        return self.parts is None or all(re.fullmatch(r"[`\"]\w+[`\"]( ASC| DESC)?", p, re.I) for p in self.parts)
 
 
 @dataclass
@@ -44,9 +51,10 @@ class TableMeta:
     indexes: list[Index] = field(default_factory=list)
     foreign_keys: list[ForeignKey] = field(default_factory=list)
     options: dict[str, str] = field(default_factory=dict)
+    columns: dict[str, str] = field(default_factory=dict)  # definitions, where the source's DDL is known
 
     def unique_keys(self) -> list[list[str]]:
-        return ([self.primary_key] if self.primary_key else []) + [i.columns for i in self.indexes if i.unique]
+        return ([self.primary_key] if self.primary_key else []) + [i.columns for i in self.indexes if i.unique and i.plain()]
 
 
 @contextmanager
@@ -94,34 +102,14 @@ class Catalog:
     @classmethod
     def jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str], tables: list[str] | None = None, schema: str | None = None) -> "Catalog":
         """Tables, keys, indexes and foreign keys of a database, through its JDBC driver."""
-        props = spark._jvm.java.util.Properties()
-        for k, v in properties.items():
-            props.setProperty(k, v)
-        if "driver" in properties:
-            spark._jvm.java.lang.Class.forName(properties["driver"])
-        con = spark._jvm.java.sql.DriverManager.getConnection(url, props)
-        try:
-            info = con.getMetaData()
-
-            def rows(result, *columns: str) -> list[tuple]:
-                out = []
-                while result.next():
-                    out.append(tuple(result.getString(c) for c in columns))
-                return out
-
-            if tables is None:
-                kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 1)
-                kinds[0] = "TABLE"
-                tables = [n for n, in rows(info.getTables(con.getCatalog(), schema, "%", kinds), "TABLE_NAME")]
-            meta = {}
-            for t in tables:
-                key = sorted(rows(info.getPrimaryKeys(con.getCatalog(), schema, t), "KEY_SEQ", "COLUMN_NAME"), key=lambda r: int(r[0]))
-                keys = rows(info.getImportedKeys(con.getCatalog(), schema, t), "FK_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME")
-                marks = rows(info.getIndexInfo(con.getCatalog(), schema, t, False, True), "INDEX_NAME", "ORDINAL_POSITION", "COLUMN_NAME", "NON_UNIQUE")
-                meta[t] = TableMeta(t, [c for _, c in key], _indexes(marks), _foreign_keys(t, keys))
-        finally:
-            con.close()
-        return cls(spark, {t: spark.read.jdbc(url, t, properties=properties) for t in tables}, meta)
+        from .database import Database
+
+        return Database(spark, url, properties, schema).catalog(tables)
+
+    def described(self, ddl: str) -> "Catalog":
+        """This catalog with the metadata of a schema dump for the tables that it tells of."""
+        meta = from_ddl(ddl)[1]
+        return Catalog(self.spark, self.frames, self.meta | {t: m for t, m in meta.items() if t in self.frames})
 
     def __contains__(self, table: str) -> bool:
         return table in self.frames
@@ -159,28 +147,23 @@ def estimated_rows(df: DataFrame) -> int:
     return int(int(str(stats.sizeInBytes())) / max(1, width))
 
 
-def _indexes(rows: list[tuple]) -> list[Index]:
-    out: dict[str, Index] = {}
-    for name, _, column, other in sorted((r for r in rows if r[0] and r[2]), key=lambda r: (r[0], int(r[1]))):
-        if name.upper() != "PRIMARY":
-            out.setdefault(name, Index(name, [], other in ("0", "false", "f"))).columns.append(column)
-    return list(out.values())
-
-
-def _foreign_keys(table: str, rows: list[tuple]) -> list[ForeignKey]:
-    out: dict[str, ForeignKey] = {}
-    for name, _, column, parent, parent_column in sorted(rows, key=lambda r: (r[0] or "", int(r[1]))):
-        fk = out.setdefault(name or f"{table}.{column}", ForeignKey(name or "", table, [], parent, []))
-        fk.columns.append(column)
-        fk.parent_columns.append(parent_column)
-    return list(out.values())
-
-
 _CREATE = re.compile(r"CREATE TABLE (?:IF NOT EXISTS )?[`\"]?(\w[\w-]*)[`\"]?\s*\((.*?)\n\)([^;]*);", re.S | re.I)
-_COLUMN = re.compile(r"^\s*[`\"](\w+)[`\"]\s+([^\s,]+(?:\([^)]*\))?[^,]*)", re.I)
+_COLUMN = re.compile(r"^\s*[`\"](\w+)[`\"]\s+(.+)$", re.S)
 _NAMES = re.compile(r"[`\"](\w+)[`\"]")
 
 
+def _parts(text: str) -> list[str]:
+    """Parts between the commas outside parentheses."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out]
+
+
 def from_ddl(text: str) -> tuple[dict[str, dict[str, str]], dict[str, TableMeta]]:
     """Columns and metadata of each CREATE TABLE of a schema dump."""
     columns: dict[str, dict[str, str]] = {}
@@ -188,6 +171,8 @@ def from_ddl(text: str) -> tuple[dict[str, dict[str, str]], dict[str, TableMeta]
     for name, body, tail in _CREATE.findall(text):
         own, m = columns.setdefault(name, {}), meta.setdefault(name, TableMeta(name))
         m.options = dict(re.findall(r"(ENGINE|CHARSET|COLLATE|ROW_FORMAT)=(\w+)", tail))
+        if "COLLATE" in m.options:
+            m.options.setdefault("CHARSET", m.options["COLLATE"].split("_")[0])
         for line in body.split("\n"):
             line = line.strip().rstrip(",")
             head = line.upper()
@@ -196,11 +181,13 @@ def from_ddl(text: str) -> tuple[dict[str, dict[str, str]], dict[str, TableMeta]
             elif fk := re.match(r"CONSTRAINT [`\"](\w+)[`\"] FOREIGN KEY \(([^)]*)\) REFERENCES [`\"](\w+)[`\"] \(([^)]*)\)(.*)", line, re.I):
                 act = {k.upper(): v.upper() for k, v in re.findall(r"ON (DELETE|UPDATE) (CASCADE|SET NULL|RESTRICT|NO ACTION)", fk[5], re.I)}
                 m.foreign_keys.append(ForeignKey(fk[1], name, _NAMES.findall(fk[2]), fk[3], _NAMES.findall(fk[4]), act.get("DELETE"), act.get("UPDATE")))
-            elif ix := re.match(r"(UNIQUE |FULLTEXT |SPATIAL )?(?:KEY|INDEX) [`\"](\w+)[`\"] \((.*)\)", line, re.I):
-                kind = (ix[1] or "").strip().lower()
-                m.indexes.append(Index(ix[2], _NAMES.findall(ix[3]), kind == "unique", kind if kind in ("fulltext", "spatial") else "btree"))
+            elif ix := re.match(r"(UNIQUE |FULLTEXT |SPATIAL )?(?:KEY|INDEX) [`\"](\w+)[`\"] \((.*)\)(?: USING (\w+))?", line, re.I):
+                kind, parts = (ix[1] or "").strip().lower(), _parts(ix[3])
+                names = [n[0] for p in parts if (n := _NAMES.findall(p))]
+                whole = all(re.fullmatch(r"[`\"]\w+[`\"]", p) for p in parts)
+                m.indexes.append(Index(ix[2], names, kind == "unique", kind if kind in ("fulltext", "spatial") else (ix[4] or "btree").lower(), None if whole else parts))
             elif col := _COLUMN.match(line):
-                own[col[1]] = col[2].strip()
+                own[col[1]] = m.columns[col[1]] = col[2].strip()
     return columns, meta
 
 
@@ -213,5 +200,5 @@ def meta_json(meta: dict[str, TableMeta]) -> str:
 def meta_from_json(text: str) -> dict[str, TableMeta]:
     out = {}
     for t, m in json.loads(text).items():
-        out[t] = TableMeta(m["name"], m["primary_key"], [Index(**i) for i in m["indexes"]], [ForeignKey(**k) for k in m["foreign_keys"]], m["options"])
+        out[t] = TableMeta(m["name"], m["primary_key"], [Index(**i) for i in m["indexes"]], [ForeignKey(**k) for k in m["foreign_keys"]], m["options"], m.get("columns", {}))
     return out

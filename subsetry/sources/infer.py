@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -34,7 +35,7 @@ SENSITIVE = {
     "ip": ("remote_ip", "x_forwarded_for", "remote_ip_long", "ip"),
     "token": ("password", "password_hash", "rp_token", "session_data", "access_token", "access_token_hash"),
 }
-POOLS = {"email": "fake_emails", "name": "fake_names", "address": "fake_streets", "phone": "fake_phones", "postcode": "fake_postcodes", "ip": None, "token": None}
+POOLS = {"email": "made_up_mail", "name": "made_up_people", "address": "made_up_places", "phone": "made_up_numbers", "postcode": "made_up_zips", "ip": None, "token": None}
 
 Columns = dict[str, dict[str, str]]
 
@@ -139,8 +140,8 @@ def configuration(columns: Columns, meta: dict[str, TableMeta], known: list[Edge
     """A configuration: pools, handling of tables, relations, masking, and empty aggregates of roots."""
     kinds = categorize(list(columns))
     own_pools = {
-        "fake_emails": ["user{unique()}@example.test"], "fake_names": ["Alex", "Robin", "Sam"], "fake_streets": ["1 Test Street"],
-        "fake_phones": ["+10000000000"], "fake_postcodes": ["00000"],
+        "made_up_mail": ["user{unique()}@example.test"], "made_up_people": ["Alex", "Robin", "Sam"], "made_up_places": ["1 Test Street"],
+        "made_up_numbers": ["+10000000000"], "made_up_zips": ["00000"],
     } | (pools or {})
     out = [f"faker {n} [" + ", ".join('"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"' for v in values) + "]" for n, values in own_pools.items()]
     out.append("")
@@ -178,12 +179,10 @@ class Graph:
         return "digraph relations {\n" + "\n".join(rows) + "\n}"
 
     def summary(self, group: Callable[[str], str] = lambda t: t.split("_")[0]) -> str:
-        """Counts, by groups of tables of a prefix, and tables without relations."""
-        counts: dict[str, int] = {}
-        for e in self.edges:
-            counts[group(e.child)] = counts.get(group(e.child), 0) + 1
+        """For each group of tables of a prefix how often it refers and is referred to, and tables without relations."""
+        out, into = Counter(group(e.child) for e in self.edges), Counter(group(e.parent) for e in self.edges)
         named = {t for e in self.edges for t in (e.child, e.parent)}
         alone = sorted(set(self.tables) - named)
         rows = [f"{len(self.tables)} tables, {len(self.edges)} relations, {len(alone)} tables without any"]
-        rows += [f"{g}: {n}" for g, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        rows += [f"{g}: {out[g]} out, {into[g]} in" for g in sorted({*out, *into}, key=lambda g: (-out[g] - into[g], g))]
         return "\n".join(rows + [f"alone: {t}" for t in alone])

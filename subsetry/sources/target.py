@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,8 +44,10 @@ class Target:
     def tables(self) -> list[str]:
         return sorted(self.paths)
 
-    def write(self, table: str, df: DataFrame, meta: TableMeta | None = None) -> int:
-        """Replace the table; returns its rows. Several threads may write different tables."""
+    def write(self, table: str, df: DataFrame, meta: TableMeta | None = None, relaxed: set[str] = frozenset()) -> int:
+        """Replace the table; returns its rows. Several threads may write different tables.
+
+        Parquet columns may all be null, so that relaxed ones need nothing."""
         path = f"{self.folder}/{table}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         with self.lock:
@@ -65,6 +68,9 @@ class Target:
     def _save(self) -> None:
         files.write_text(self.spark, self.list, json.dumps({"tables": self.paths, "old": self.old}))
 
+    def bytes_of(self, table: str) -> int:
+        return files.size(self.spark, self.paths[table])
+
     def superseded(self) -> list[str]:
         return list(self.old)
 
@@ -80,7 +86,10 @@ class Target:
 
 
 def write_jdbc(frames: dict[str, DataFrame], url: str, properties: dict[str, str], batch: int = 10_000) -> None:
-    """Load tables into a database by batches of rows, one connection for each task; old tables are replaced."""
+    """Load tables into a database by batches of rows, one connection for each task; old tables are replaced.
+
+    The tables are as Spark makes them; DatabaseTarget makes them of a table's metadata.
+    """
     for t, df in frames.items():
         df.write.option("batchsize", batch).jdbc(url, t, mode="overwrite", properties=properties)
 
@@ -90,18 +99,38 @@ def export_bundle(spark: SparkSession, folder: str, frames: dict[str, DataFrame]
     folder = folder.rstrip("/")
     if files.exists(spark, f"{folder}/manifest.json"):
         raise PlanError(f"{folder} holds a bundle already")
-    rows = {}
+    rows, parts = {}, {}
     for t, df in frames.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/tables/{t}")
         rows[t] = spark.read.parquet(f"{folder}/tables/{t}").count()
+        parts[t] = [n for n in files.names(spark, f"{folder}/tables/{t}") if not n.startswith(("_", "."))]
     files.write_text(spark, f"{folder}/meta.json", meta_json({t: meta.get(t, TableMeta(t)) for t in frames}))
     files.write_text(spark, f"{folder}/plan.json", plan.to_json())
-    files.write_text(spark, f"{folder}/manifest.json", json.dumps({"version": VERSION, "tables": rows}))
+    files.write_text(spark, f"{folder}/manifest.json", json.dumps({"version": VERSION, "tables": rows, "files": parts}))
+
+
+def _downloaded(spark: SparkSession, url: str) -> str:
+    folder = files.new_folder(spark, "bundle")
+    files.fetch(spark, f"{url}/manifest.json", f"{folder}/manifest.json")
+    manifest = json.loads(files.read_text(spark, f"{folder}/manifest.json"))
+    for t, names in manifest.get("files", {}).items():
+        for name in names:
+            if "/" in name or "/" in t:
+                raise PlanError(f"the bundle names a file outside itself: {t}/{name}")
+            files.fetch(spark, f"{url}/tables/{quote(t)}/{quote(name)}", f"{folder}/tables/{t}/{name}")
+    for name in ("meta.json", "plan.json"):
+        files.fetch(spark, f"{url}/{name}", f"{folder}/{name}")
+    return folder
 
 
 def open_bundle(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, TableMeta], Plan]:
-    """Frames, metadata and plan of a bundle; one without its end, or short of rows, is refused."""
+    """Frames, metadata and plan of a bundle; one without its end, or short of rows, is refused.
+
+    One behind an http(s) URL is copied to the shared folder first, as its manifest lists it.
+    """
     folder = folder.rstrip("/")
+    if folder.startswith(("http://", "https://")):
+        folder = _downloaded(spark, folder)
     if not files.exists(spark, f"{folder}/manifest.json"):
         raise PlanError(f"{folder} is not a complete bundle: it has no manifest")
     manifest = json.loads(files.read_text(spark, f"{folder}/manifest.json"))

@@ -21,6 +21,7 @@ class RunState:
     """Kept as one small file in the target, written after each completed table.
 
     backups: preserved rows of each table, by path, taken before its first overwrite.
+    foreign_keys: those that the target had, dropped for the load and put back at its end.
     stop_after: for tests, so many tables after which a run is interrupted.
     """
 
@@ -28,6 +29,7 @@ class RunState:
     path: str
     done: dict[str, int] = field(default_factory=dict)
     backups: dict[str, str] = field(default_factory=dict)
+    foreign_keys: list[dict] = field(default_factory=list)
     stop_after: int | None = None
     stopping: bool = False
     lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
@@ -42,19 +44,25 @@ class RunState:
                 out.finish()
             elif resume:
                 found = json.loads(files.read_text(spark, path))
-                out.done, out.backups = found["done"], found["backups"]
+                out.done, out.backups, out.foreign_keys = found["done"], found["backups"], found.get("foreign_keys", [])
             else:
                 raise PlanError("an interrupted run left its state: resume it, or clean it (preserved rows are lost then)")
         return out
 
     def save(self) -> None:
-        files.write_text(self.spark, self.path, json.dumps({"done": self.done, "backups": self.backups}))
+        files.write_text(self.spark, self.path, json.dumps({"done": self.done, "backups": self.backups, "foreign_keys": self.foreign_keys}))
 
     def keeps(self, table: str, path: str) -> None:
         with self.lock:
             self.backups[table] = path
             self.save()
 
+    def drops(self, keys: list[dict]) -> None:
+        """Told before the target's foreign keys are dropped, so that a resumed run knows them."""
+        with self.lock:
+            self.foreign_keys += [k for k in keys if k not in self.foreign_keys]
+            self.save()
+
     def completed(self, table: str, rows: int) -> None:
         with self.lock:
             self.done[table] = rows

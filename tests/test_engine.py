@@ -301,7 +301,7 @@ def test_inference():
     assert infer.categorize(["report_viewed", "x_cl", "a_idx", "store"]) == {"report_viewed": "exclude_data", "x_cl": "ignore", "a_idx": "exclude_data", "store": "keep"}
     text = infer.configuration(columns, meta, known, roots=["sales_order"])
     plan = load_plan(text=text)
-    assert plan.anonymize == {"sales_order": [("customer_email", "fake_emails")]} and plan.exclude_data.names == ["report_viewed"] and plan.aggregates[0].where == "FALSE"
+    assert plan.anonymize == {"sales_order": [("customer_email", "made_up_mail")]} and plan.exclude_data.names == ["report_viewed"] and plan.aggregates[0].where == "FALSE"
     g = infer.Graph(known, list(columns))
     assert "store (1)" in g.grouped() and "digraph" in g.dot() and "alone: customer_entity" in g.summary() and g.as_list() == "sales_order.store_id -> store.store_id"
 
