@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DateType, DayTimeIntervalType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BinaryType, DateType, DayTimeIntervalType, DoubleType, FloatType, StringType, StructType, TimestampNTZType, TimestampType
 
 #: In place of NULL in a line.
 NULL = "\\N"
@@ -76,3 +76,19 @@ def cell(df: DataFrame, name: str) -> Column:
 def lines(df: DataFrame) -> DataFrame:
     """One text column, value: each row as a tab-separated line, for write.text."""
     return df.select(F.concat_ws("\t", *[cell(df, c) for c in df.columns]).alias("value"))
+
+
+def parsed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The inverse of lines: value as rows of schema. A line without a cell for each column is an error."""
+    cells, n = F.split("value", "\t", -1), len(schema.fields)
+    whole = F.when(F.size(cells) == n, cells).otherwise(F.raise_error(F.concat(F.lit(f"not {n} cells: "), F.col("value"))))
+    out = []
+    for i, f in enumerate(schema.fields):
+        text = F.col("__cells")[i]
+        text = F.when(text != NULL, text)
+        if isinstance(f.dataType, StringType):
+            value = unescaped(text)
+        else:
+            value = F.unhex(text) if isinstance(f.dataType, BinaryType) else text.cast(f.dataType)
+        out.append(value.alias(f.name))
+    return rows.select(whole.alias("__cells")).select(*out)

@@ -204,8 +204,10 @@ def check(path: str, variables: dict[str, object] | None = None) -> list[str]:
     """Problems of a configuration file; none if it can be planned."""
     try:
         load_plan(path, variables, lenient=True)
-    except (LanguageError, PlanError) as e:
-        return str(e).split("\n\n")
+    except LanguageError as e:
+        return [p.render(e.source, e.name) for p in e.problems]
+    except PlanError as e:
+        return [str(e)]
     return []
 
 
