@@ -149,8 +149,9 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     ids are those of the tokenizers library without special tokens added; decoded is its
     decode(ids, skip_special_tokens=False). Chunks are shared among the documents of a task, so
     nothing shuffles, a chunk that every document has costs no more than another, and the
-    dictionary is bounded. Null and empty texts have no ids. Null ids, repeated rows and other
-    columns change nothing. An empty table gives no rows.
+    dictionary is bounded; a chunk that documents of several tasks share is encoded once in each.
+    Null and empty texts have no ids; texts of any length are encoded whole, chunk by chunk. Null ids,
+    equal ids, repeated rows and other columns change nothing. An empty table gives no rows.
     """
     path = tokenizer or public_path("byte_bpe_50k.json")
     common.tune(docs.sparkSession)

@@ -6,6 +6,7 @@ import itertools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = spark._jvm.org.apache.hadoop.fs.FileSystem.get(hadoop).makeQualified(
             spark._jvm.org.apache.hadoop.fs.Path(base)
         ).toString()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+#: Of each settled() that runs: the folders made meanwhile.
+_MADE: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives, written to the shared folder and read again; the folders that make staged are deleted then."""
+    path, made = shared_dir(spark, name), []
+    _MADE.append(made)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _MADE.remove(made)
+        for other in made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(other)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -80,8 +103,17 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
-def tasks_for(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input, as the optimizer estimates them, for each task beyond the session's number of tasks.
+TASK_BYTES = 128 << 20
+
+
+def tasks_for(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """The session's number of shuffle partitions, or more where docs are large."""
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return tasks
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(tasks, min(size // TASK_BYTES, 1 << 20)) if size < 1 << 60 else tasks  # beyond: no estimate
 
 
 def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list:

@@ -121,7 +121,7 @@ def with_edited(text: str, tail: str) -> tuple[np.ndarray, str, np.ndarray]:
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Each row's fingerprint, its edited text's and the likeness to that and to the next row's.
 
-    Rows are ordered by id (null ids first) and then text; the last row's next is the first.
+    Rows are ordered by id (a long; others are cast; null ids first) and then text; the last row's next is the first.
     Null texts count as empty. The edited text has the last quarter of the code points (rounded
     down) replaced by the first as many, or all, of the next row's text. Columns: id_col,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
@@ -132,7 +132,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     """
     spark = docs.sparkSession
     common.tune(spark)
-    bounds = common.id_bounds(docs, id_col, parts or common.tasks_for(spark))
+    bounds = common.id_bounds(docs, id_col, parts or common.tasks_for(spark, docs))
     # the least id begins range 0; each bound is an id that begins its range
     own = docs.select(docs[id_col].cast("long").alias("id"), common.text_of(docs, text_col).alias("text"))
     least = own.agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).first()

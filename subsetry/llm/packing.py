@@ -129,8 +129,11 @@ def pack(
     ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, and with with_ids the ids.
 
     Each task packs what it reads, so nothing shuffles and only the last sequence of a task
-    is padded. Null and empty texts are examples of one token (end_id). A null id is kept.
-    Repeated rows are packed each. An empty table gives no rows. Other columns are ignored.
+    is padded. Null and empty texts are examples of one token (end_id); long ones are cut into full
+    sequences and a rest. Ids are longs (other types are cast; what cannot be is an error or null, as
+    the session's ANSI mode has it); a null id is kept. Of parts that fit equally well the one that came
+    first into its place of the pool is taken. Repeated rows are packed each. An empty table gives no
+    rows. Other columns are ignored.
     A sequence_id is the task's number and a count: ids are unique and stable under retries.
     """
     path, spark = tokenizer or public_path("byte_bpe_50k.json"), docs.sparkSession

@@ -257,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _spread(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         known = common.staged(
-            large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            _spread(large, small, "u", "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*").where("u <> v").distinct(), "edges",
         )
 
@@ -284,8 +284,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that links lead to, the row's own included. With more views than one, rows
     link where those of any view do; the fingerprint is the first view's. Equal fingerprints
     are one node, so copies cost one row each. Null and empty texts have fingerprint 0 and
-    link as others. A null id gets its component's smallest id, null where no member has one.
-    Repeated rows stay. An empty table gives no rows; other columns are ignored.
+    link as others; of texts of any length all shingles count, so many at a time. A null id gets its
+    component's smallest id, null where no member has one. Repeated rows stay. An empty table gives
+    no rows; other columns are ignored.
     """
     node = F.col("fps")[0] if views == 1 else F.xxhash64("fps")
     rows = common.staged(fingerprints(docs, id_col, text_col, words, views).withColumn("fp", node), "fp")

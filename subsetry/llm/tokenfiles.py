@@ -32,12 +32,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     Rows shuffle once, by ranges of ids. Tasks write tokens and local offsets under names of
     their own attempt, and only the names that a finished task returned are used, so a lost
     executor leaves at most unused files. Each shard's base is the sum of the sizes of those
-    before it; a second, small pass writes the offsets. Null ids come first, null and empty
+    before it; a second, small pass writes the offsets. A shard has about TASK_BYTES of texts where there
+    are many. Ids are longs (others are cast); rows of one id go to one shard. Null ids come first, null and empty
     texts have end_id only, repeated rows are written each, rows of one id are ordered by text.
     """
     spark, path = docs.sparkSession, tokenizer or public_path("byte_bpe_50k.json")
     common.tune(spark)
-    parts = parts or common.tasks_for(spark)
+    parts = parts or common.tasks_for(spark, docs)
     bounds = common.id_bounds(docs, id_col, parts)
     own = docs.select(docs[id_col].cast("long").alias("id"), common.text_of(docs, text_col).alias("text"))
     own = own.withColumn("part", common.range_number(F.col("id"), bounds))
@@ -104,23 +105,43 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     return done
 
 
-def _mapped(fs, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where it is local, else read."""
+class _Ranged:
+    """A file as an array that is read by ranges, a block at a time."""
+
+    def __init__(self, file, dtype: str, block: int = 8 << 20):
+        self.file, self.dtype, self.block = file, np.dtype(dtype), block
+        self.start, self.held = 0, np.zeros(0, dtype)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b = part.start, part.stop
+        if a < self.start or b > self.start + len(self.held):
+            size = self.dtype.itemsize
+            raw = self.file.read_at(max(self.block, (b - a) * size), a * size)
+            self.start, self.held = a, np.frombuffer(raw[: len(raw) // size * size], self.dtype)
+        return self.held[a - self.start : b - self.start]
+
+
+def _mapped(fs, path: str, dtype: str, whole: bool = False) -> np.ndarray | _Ranged:
+    """The file as an array: memory-mapped where it is local, else read, by ranges or whole."""
     from pyarrow import fs as arrow_fs
 
     if fs.get_file_info(path).size == 0:
         return np.zeros(0, dtype)
     if isinstance(fs, arrow_fs.LocalFileSystem):
         return np.memmap(path, dtype, "r")
-    return np.frombuffer(fs.open_input_file(path).read(), dtype)
+    file = fs.open_input_file(path)
+    return np.frombuffer(file.read(), dtype) if whole else _Ranged(file, dtype)
 
 
 def documents(folder: str, shard: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(id, start in the data set, token ids) of each document of a shard, from its files."""
+    """(id, start in the data set, token ids) of each document of a shard, from its files.
+
+    Of a shard that is not local, offsets and document ids (16 bytes a document) are held, tokens are read by ranges.
+    """
     fs, root = common.filesystem(folder)
     tokens = _mapped(fs, f"{root}/{shard['name']}.tokens", f"<u{shard['width']}")
-    offsets = _mapped(fs, f"{root}/{shard['name']}.offsets", "<i8")
-    ids = _mapped(fs, f"{root}/{shard['name']}.ids", "<i8")
+    offsets = _mapped(fs, f"{root}/{shard['name']}.offsets", "<i8", True)
+    ids = _mapped(fs, f"{root}/{shard['name']}.ids", "<i8", True)
     base = int(offsets[0])
     for i, doc_id in enumerate(ids.tolist()):
         a, b = int(offsets[i]), int(offsets[i + 1])

@@ -465,8 +465,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below threshold, with all their columns and no others.
 
-    Nulls, repeated rows, empty tables and one-sided labels are as for score.
+    Without labels of both classes nothing tells them apart, and all rows stay. Nulls, repeated
+    rows and empty tables are as for score.
     """
-    names = common.unused(docs, "score", "predicted")
-    found = _scored(docs, fit(docs, labels, id_col, text_col, label_col), text_col, [F.col(f"`{c}`") for c in docs.columns], tuple(names), threshold)
+    names, scorer = common.unused(docs, "score", "predicted"), fit(docs, labels, id_col, text_col, label_col)
+    if scorer.model is None:
+        return docs
+    found = _scored(docs, scorer, text_col, [F.col(f"`{c}`") for c in docs.columns], tuple(names), threshold)
     return found.where(F.col(names[1]) == 0).drop(*names)

@@ -239,7 +239,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write pages to a new shared folder and read the archives back.
 
     Null and empty payloads are payloads of no bytes, null urls empty ones; control characters
-    and blanks in a url are percent-encoded. An empty table gives no rows.
+    and blanks in a url are percent-encoded, and a url may have any length. Ids are longs (others are
+    cast). Repeated rows are records each. An empty table gives no rows.
     """
     folder = common.shared_dir(pages.sparkSession, "warc")
     return read(pages.sparkSession, write(pages, folder, id_col, url_col, payload_col), folder, id_col)

@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from subsetry.llm import secret_scan, simhash, toxicity
+from subsetry.llm import common, secret_scan, simhash, toxicity
 from subsetry.llm.packing import Limits
 
-from .test_duplicates import LOWER, groups, near
+from .test_duplicates import LOWER
+from .test_near_dedup import plain_kept
 from .test_tokens import held, ids_of
 
 DIR = "/root/testdata/sf0.001"
@@ -25,10 +26,11 @@ def test_pipeline_equals_brute_force(spark, docs, tokenizer):
         key = r.text.translate(LOWER)
         best[key] = max(best.get(key, i), i)
     ids = sorted(best.values())
-    fps = np.array([simhash.fingerprint_views(rows[i].text, views=3) for i in ids], np.uint64)
-    found = groups(ids, [p for v in range(3) for p in near(fps[:, v], 5)])
-    ids = [i for k, i in enumerate(ids) if found[k] == k]
-    texts = {i: secret_scan.redact(rows[i].text) for i in ids}
+    left = docs.where(docs.doc_id.isin(ids))
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(left, words=5).collect()}
+    ids = sorted(plain_kept([(i, rows[i].text) for i in ids], classes))
+    words = secret_scan.dictionary_of(docs.where(docs.doc_id.isin(ids)))
+    texts = {i: secret_scan.redact(rows[i].text, words=words) for i in ids}
     tokens = {i: [*x, 0] for i, x in zip(texts, ids_of(tokenizer, list(texts.values())))}
     pieces = corpus_pipeline.run(spark, DIR).collect()
     held([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in pieces], Limits())
@@ -42,11 +44,35 @@ def test_pipeline_equals_brute_force(spark, docs, tokenizer):
 
 @pytest.mark.parametrize("which", range(4))
 def test_stages_keep_the_columns(spark, which):
-    df = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (3, "a b c", None, "s", 5), (3, "a b c", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (3, "a b c", None, "s", 5), (3, "a b c", None, "s", 5), (4, "very long text " * 9000, "en", "s", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(*r, "x", "y", 7, True, None) for r in rows], schema + ", node string, score string, key long, maybe boolean, predicted int")
     name, stage = corpus_pipeline.STAGES[which]
     for given in (df, df.limit(0)):
         out = stage(spark, given, DIR)
         assert out.columns == df.columns and out.count() <= given.count()
+    plain = spark.createDataFrame(rows, schema)
+    assert stage(spark, plain.limit(0), DIR).columns == plain.columns
+
+
+def test_pack_stage_takes_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (2, "a b", "z"), (2, "a b", "z")], "doc_id long, text string, start string")
+    out = corpus_pipeline.pack(spark, df, DIR).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in out)[:2] == [(0, 1), (1, 1)] and len(out) == 4
+    assert corpus_pipeline.pack(spark, df.limit(0), DIR).count() == 0
+
+
+def test_a_settled_stage_leaves_its_result_only(spark):
+    inner = []
+
+    def make():
+        inner.append(common.staged(spark.range(5), "inner"))
+        return inner[0].where("id > 1")
+
+    out = common.settled(spark, make, "outer")
+    assert out.count() == 3
+    with pytest.raises(Exception, match="(?i)file|path"):
+        inner[0].count()
 
 
 def test_the_entry_works_without_this_subpackage(monkeypatch):

@@ -130,3 +130,17 @@ def test_token_files(spark, docs, local, tokenizer, odd):
     assert [r.doc_id for r in rows[2:]] == sorted(r.doc_id for r in rows[2:])
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
     assert tokenfiles.round_trip(odd.limit(0)).count() == 0
+
+
+def test_shards_are_read_by_ranges(spark, docs, monkeypatch):
+    from pyarrow import fs
+
+    folder = common.shared_dir(spark, "tokens")
+    shards = [r.asDict() for r in tokenfiles.write(docs, folder, parts=3).collect()]
+    wanted = [(i, a, x.tolist()) for s in shards for i, a, x in tokenfiles.documents(folder, s)]
+    far = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    root = common.filesystem(folder)[1]
+    monkeypatch.setattr(common, "filesystem", lambda uri: (far, root))
+    monkeypatch.setattr(tokenfiles._Ranged.__init__, "__defaults__", (4096,))
+    assert [(i, a, x.tolist()) for s in shards for i, a, x in tokenfiles.documents(folder, s)] == wanted and len(wanted) == docs.count()
+    assert common.tasks_for(spark, docs) == common.tasks_for(spark) == 4

@@ -121,3 +121,10 @@ def test_results_do_not_depend_on_partitions(spark):
     one = {r.doc_id: r.score for r in toxicity.score(docs.coalesce(1), labels, keep=["doc_id"]).collect()}
     many = {r.doc_id: r.score for r in toxicity.score(docs.repartition(7), labels.repartition(3), keep=["doc_id"]).collect()}
     assert one == pytest.approx(many, abs=1e-9)
+
+
+def test_without_both_classes_all_documents_stay(spark):
+    docs, labels, toxic = corpus(spark, 60)
+    for one in (0, 1):
+        assert toxicity.keep_ordinary(docs, labels.where(f"toxic = {one}")).count() == 60
+    assert toxicity.score(docs, labels.where("toxic = 1")).where("predicted = 1").count() == 60
