@@ -25,8 +25,8 @@ _XOR = _RNG.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
 _BANDS = np.array([_RNG.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 #: Shingles that are permuted at once.
 _AT_ONCE = 4096
-#: Pairs for each row of a band up to which all are compared at once.
-PAIRS = 16
+#: Pairs for each row of a key up to which all are compared at once.
+PAIRS = 1
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
