@@ -31,8 +31,8 @@ THRESHOLD = 0.7
 _EDGE = ".,;:!?\"'()[]{}<>*$%&#"
 #: A word's key holds its prefix's hash above so many bits of its own.
 _OWN_BITS = 36
-#: Words and word pairs that a task gathers before it writes out what it has.
-_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 500_000, 2_000_000
+#: Words, as they stand in texts, and word pairs that a task gathers before it writes out what it has.
+_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 200_000, 1_000_000
 #: Bitmaps that count distinct contexts: bits of each, and how much rarer each is than the one before.
 _BITS, _RARER, _LEVELS = 256, 8, 8
 #: A bitmap with more bits set is full, and the next one counts.
@@ -45,10 +45,6 @@ def remainder(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)).cast("int")
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in [x.strip(_EDGE) for x in text.lower().split()] if w]
-
-
 def key_of(word: str) -> int:
     """64 bits: the hash of the word's prefix, and of the word."""
     own = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << _OWN_BITS) - 1)
@@ -183,9 +179,9 @@ def _contexts(words: np.ndarray, prefixes: np.ndarray):
             ids = lexicon.read(batch.column(0).to_pylist())
             at = np.flatnonzero(ids)
             waiting.append(common.distinct(ids[at - 1] << 32 | ids[at]))
-            if len(lexicon.keys) > _WORDS_AT_ONCE or sum(map(len, waiting)) > _PAIRS_AT_ONCE:
+            if len(lexicon.numbers) > _WORDS_AT_ONCE or sum(map(len, waiting)) > _PAIRS_AT_ONCE:
                 found, waiting = common.distinct(np.concatenate([found, *waiting])), []
-                if len(lexicon.keys) > _WORDS_AT_ONCE or len(found) > _PAIRS_AT_ONCE:
+                if len(lexicon.numbers) > _WORDS_AT_ONCE or len(found) > _PAIRS_AT_ONCE:
                     yield from bitmaps(lexicon, found)
                     lexicon, found = Lexicon(), found[:0]
         yield from bitmaps(lexicon, common.distinct(np.concatenate([found, *waiting])))
@@ -266,7 +262,7 @@ class Model:
 
     def _ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places where texts begin, and at each further place its word's ratio; 0 at a beginning."""
-        if len(self.lexicon.keys) > 400_000:
+        if len(self.lexicon.numbers) > 2 * _WORDS_AT_ONCE:
             self.forget()
         ids = self.lexicon.read(texts)
         new = self.lexicon.keys[len(self.a) :]
