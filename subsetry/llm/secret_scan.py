@@ -41,6 +41,8 @@ WORDS = (
     "whatever", "trustno", "superman", "batman", "internet", "service", "server", "access", "default", "changeme",
     "test", "example", "sample", "user", "root", "guest", "pass", "love", "money", "baseball",
 )
+#: What a corpus's words stand between.
+_APART = "\t\n\r.,;:!?\"'()[]{}<>*$%&#|=/_-+@0123456789"
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
 
@@ -81,13 +83,15 @@ USUAL = Dictionary(WORDS)
 
 
 def dictionary_of(docs: DataFrame, text_col: str = "text", words: int = CORPUS_WORDS) -> Dictionary:
-    """WORDS, and after them the most frequent words (3 to 20 letters a-z) of all texts of docs.
+    """WORDS, and after them the most frequent words (3 to 20 letters a-z, between blanks or punctuation) of all texts of docs.
 
     All documents are counted, each task's words before they shuffle; the driver gets the most
     frequent ones only. Of words as frequent as each other the first in the alphabet count.
     """
-    letters = F.split(F.lower(common.text_of(docs, text_col)), "[^a-z]+")
-    counted = docs.select(F.explode(letters).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parted = F.split(F.translate(F.lower(common.text_of(docs, text_col)), _APART, " " * len(_APART)), " ")
+    word = F.col("word")
+    some = docs.select(F.explode(parted).alias("word")).where(F.octet_length(word).between(3, 20) & (F.octet_length(word) == F.length(word)))
+    counted = some.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & word.rlike("^[a-z]+$"))
     return Dictionary([*WORDS, *(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())])
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from subsetry.llm import chunk_bpe, tokenfiles
+from subsetry.llm import chunk_bpe, common, tokenfiles
 from subsetry.llm.bpe import UnitEncoder, public_path
 from subsetry.llm.packing import Limits, Packer, pack
 

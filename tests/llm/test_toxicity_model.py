@@ -12,13 +12,18 @@ from subsetry.llm import toxicity
 from .test_scans import corpus
 
 
+def words_of(text):
+    """Between blanks, in lower case, without the punctuation at either end."""
+    return [w for w in (x.strip(toxicity._EDGE) for x in text.lower().split()) if w]
+
+
 class Plain:
     """Dictionaries of sets of contexts, one class at a time."""
 
     def __init__(self, texts_of, every, d, d2):
         before = defaultdict(set)
         for t in every:
-            words = toxicity._words(t)
+            words = words_of(t)
             for u, w in zip(["", *words], words):
                 before[w].add(u)
         self.shared = {w: len(s) for w, s in before.items()}
@@ -30,7 +35,7 @@ class Plain:
         for texts in texts_of:
             pair = defaultdict(set)
             for t in texts:
-                words = ["", "", *toxicity._words(t)]
+                words = ["", "", *words_of(t)]
                 for v, u, w in zip(words, words[1:], words[2:]):
                     pair[u, w].add(v)
             pair = {k: len(v) for k, v in pair.items()}
@@ -55,7 +60,7 @@ class Plain:
         return (max(pair.get((u, w), 0) - self.d2, 0) + sum(min(n, self.d2) for n in first[u]) * q * inner) / sum(first[u])
 
     def ratios(self, text, known):
-        words = toxicity._words(text)
+        words = words_of(text)
         return [math.log(self.probability(0, u, w, known)) - math.log(self.probability(1, u, w, known)) for u, w in zip(["", *words], words)]
 
 
@@ -69,7 +74,7 @@ def test_ratios_equal_a_plain_version(spark):
     counted = [[texts[r.doc_id] for r in sample.where("counts").withColumnRenamed("id", "doc_id").collect() if r.toxic == c] for c in (1, 0)]
     own = docs.select(F.col("doc_id").alias("id"), "text")
     words, pairs = toxicity._counts(own, sample)
-    known = {w for side in counted for t in side for w in toxicity._words(t)}
+    known = {w for side in counted for t in side for w in words_of(t)}
     exact = Plain(counted, texts.values(), 1, 1)
     names = {toxicity.key_of(w): w for w in known}
     every = [names.get(int(k), "") for k in words["key"]]
