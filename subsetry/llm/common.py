@@ -17,9 +17,12 @@ ROWS_PER_BATCH = 1024
 
 
 def tune(spark: SparkSession) -> None:
-    """Lower the Arrow batch size where the session still has the default."""
+    """Lower the session's Arrow batch size, for as long as it lasts, where it still is Spark's default.
+
+    It is read when a plan runs, which may be long after the call, so it cannot be put back.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
+    if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
