@@ -34,6 +34,8 @@ _HINT = re.compile(r"(?ai:pass|pwd|secret|token|key|cred|auth)")
 MIN_BITS = 36.0
 #: Words of a corpus, the most frequent first, that join those below in its dictionary.
 CORPUS_WORDS = 20_000
+#: Tasks that look for them among the counted words; each sends so many words at most.
+TOP_TASKS = 16
 #: Words that people put into passwords, the most usual first.
 WORDS = (
     "password", "admin", "welcome", "letmein", "login", "master", "dragon", "monkey", "qwerty", "sunshine",
@@ -85,13 +87,14 @@ USUAL = Dictionary(WORDS)
 def dictionary_of(docs: DataFrame, text_col: str = "text", words: int = CORPUS_WORDS) -> Dictionary:
     """WORDS, and after them the most frequent words (3 to 20 letters a-z, between blanks or punctuation) of all texts of docs.
 
-    All documents are counted, each task's words before they shuffle; the driver gets the most
-    frequent ones only. Of words as frequent as each other the first in the alphabet count.
+    All documents are counted, each task's words before they shuffle, and written to the shared folder;
+    the driver gets the most frequent words of each of TOP_TASKS tasks, whatever the input. Of words as
+    frequent as each other the first in the alphabet count.
     """
     parted = F.split(F.translate(F.lower(common.text_of(docs, text_col)), _APART, " " * len(_APART)), " ")
     word = F.col("word")
     some = docs.select(F.explode(parted).alias("word")).where(F.octet_length(word).between(3, 20) & (F.octet_length(word) == F.length(word)))
-    counted = some.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & word.rlike("^[a-z]+$"))
+    counted = common.staged(some.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & word.rlike("^[a-z]+$")), "words").coalesce(TOP_TASKS)
     return Dictionary([*WORDS, *(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())])
 
 
