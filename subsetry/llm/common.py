@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+
 #: Arrow batches stay small, as one document may hold 100 KB and more.
 ROWS_PER_BATCH = 1024
 
@@ -100,6 +104,31 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable, encoders: bool = False) -> Callable:
+    """run for mapInArrow, in a worker that holds little beside it.
+
+    Python workers go from one stage to the next: unless run uses encoders, those of an earlier stage
+    go, with the units that they cached; what run has freed is given back at its end.
+    """
+
+    def own(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encoders:
+            bpe.encoder.cache_clear()
+        give_back()
+        yield from run(stream)
+        give_back()
+
+    return own
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values, by a sort, which for many numbers is faster than numpy's hash table."""
     found = np.sort(values)

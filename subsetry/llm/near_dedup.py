@@ -76,7 +76,7 @@ def _arrays(rows: DataFrame, keys: bool) -> DataFrame:
                 found = [bands(s) for s in of] if keys else list(of)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["node", "found"])
 
-    return rows.mapInArrow(run, "node long, found array<long>")
+    return rows.mapInArrow(common.lean(run), "node long, found array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -90,7 +90,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = [similarity(a[i].values.to_numpy(), b[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
             yield batch.select(["node", "top"]).filter(pa.array(ok, pa.bool_()))
 
-    return common.staged(_spread(own, tops, "top", "node").select("node", "top", "a", "b").mapInArrow(run, "node long, top long"), "similar")
+    return common.staged(_spread(own, tops, "top", "node").select("node", "top", "a", "b").mapInArrow(common.lean(run), "node long, top long"), "similar")
 
 
 def _covered(edges: DataFrame) -> DataFrame:

@@ -177,4 +177,4 @@ def pack(
             yield flush()
 
     ddl = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + (", ids array<int>" if with_ids else "")
-    return own.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.lean(run, encoders=True), ddl).withColumnRenamed("id", id_col)

@@ -280,7 +280,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     kinds = {"base_sha256": StringType(), "spans": StringType(), "costs": StringType(), "found": ArrayType(_SPAN)}
     schema = StructType([own.schema["id"], *(StructField(n, kinds.get(n, LongType())) for n in names[1:])])
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return own.mapInArrow(common.lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", words: Dictionary | None = None) -> DataFrame:
@@ -300,7 +300,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             cols[at] = pa.array(texts, batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(common.lean(run), schema)
     if length_col and length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(f"`{text_col}`").isNull(), F.col(f"`{length_col}`")).otherwise(F.length(f"`{text_col}`").cast(kind)))

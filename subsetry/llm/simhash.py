@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     own = docs.select(docs[id_col].alias("id"), common.text_of(docs, text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, fps array<long>")
+    return own.mapInArrow(common.lean(run), f"id {kind}, fps array<long>")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def _joined(keyed: DataFrame, budget: int, parts: int) -> DataFrame:
             x = linked[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[label[x]].view(np.int64))], names=["u", "v"])
 
-    return keyed.repartition(parts, "key").mapInArrow(run, "u long, v long")
+    return keyed.repartition(parts, "key").mapInArrow(common.lean(run), "u long, v long")
 
 
 def links(distinct: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:

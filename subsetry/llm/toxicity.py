@@ -348,7 +348,7 @@ def _counts(own: DataFrame, sample: DataFrame) -> tuple[dict[str, np.ndarray], d
     """words and pairs for Model; None if the sample has no words."""
     spark = own.sparkSession
     chosen = own.join(F.broadcast(sample.where("counts")), "id").select("text", F.col("toxic").cast("int"))
-    triples = chosen.mapInArrow(_triples, "u long, w long, v int, toxic byte").repartition(common.tasks_for(spark), "u", "w")
+    triples = chosen.mapInArrow(common.lean(_triples), "u long, w long, v int, toxic byte").repartition(common.tasks_for(spark), "u", "w")
     by_class = [F.count_if(F.col("toxic") == 1 - i).alias(c) for i, c in enumerate(("toxic", "ordinary"))]
     pairs = common.staged(triples.dropDuplicates().groupBy("u", "w").agg(*by_class), "pairs")
     most = sorted({d2 for _, d2 in GRID})
@@ -371,7 +371,7 @@ def _counts(own: DataFrame, sample: DataFrame) -> tuple[dict[str, np.ndarray], d
     def contexts(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _contexts(*sent.value)(stream)
 
-    found = _columns(_distinct_contexts(own.select("text").mapInArrow(contexts, "kind byte, key long, slot short, mask long")))
+    found = _columns(_distinct_contexts(own.select("text").mapInArrow(common.lean(contexts), "kind byte, key long, slot short, mask long")))
     sent.unpersist()
     for kind, name, of, by in ((_WORD, "contexts", words["key"], words["key"]), (_PREFIX, "of_prefix", shared, words["key"] >> np.uint64(_OWN_BITS))):
         on, n = found["kind"] == kind, np.zeros(len(of))
@@ -414,7 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = np.concatenate([m.features(batch.column(0).to_pylist()) for m in own_models], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    tested = own.join(F.broadcast(sample.where("tests")), "id").select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").toArrow()
+    tested = own.join(F.broadcast(sample.where("tests")), "id").select("text", "toxic").mapInArrow(common.lean(features), "x array<double>, toxic int").toArrow()
     sent.unpersist()
     y = tested.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -440,7 +440,7 @@ def _scored(docs: DataFrame, scorer: Scorer, text_col: str, kept: list[Column],
             cols = [*batch.columns[:out], pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:out], *names])
 
-    return own.mapInArrow(run, StructType([*given.schema, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
+    return own.mapInArrow(common.lean(run), StructType([*given.schema, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,11 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from subsetry.llm import common, secret_scan, simhash, toxicity
+from subsetry.llm import bpe, common, secret_scan, simhash, toxicity
 from subsetry.llm.packing import Limits
 
 from .test_duplicates import LOWER
@@ -90,3 +91,16 @@ def test_the_entry_works_without_this_subpackage(monkeypatch):
 
     monkeypatch.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
     assert "table_counts" in __spark_entry__.queries() and not any(n.startswith("op") for n in __spark_entry__.queries())
+
+
+def test_a_worker_gives_up_what_earlier_stages_cached(spark):
+    """Without packing between them, stages do not carry the encoder of an earlier one along."""
+    def cached(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.encoder.cache_info().currsize] * batch.num_rows, pa.int64())], names=["n"])
+
+    bpe.encoder(bpe.public_path("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert [b.column(0).to_pylist() for b in common.lean(cached, encoders=True)(iter([batch]))] == [[1, 1]]
+    assert [b.column(0).to_pylist() for b in common.lean(cached)(iter([batch]))] == [[0, 0]]
+    assert spark.range(3, numPartitions=1).mapInArrow(common.lean(cached), "n long").collect() == [(0,)] * 3
